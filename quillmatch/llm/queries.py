@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from quillmatch.plans.storage import fresh_path
+
+from . import bpe, mixing, quality_rules, token_files
+
+
+def vocabulary_path() -> str:
+    """The production vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _docs(spark, sf_dir):
@@ -15,7 +24,26 @@ def op1_quality_rules(spark, sf_dir):
     )
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules}
+def op7_bpe_chunks(spark, sf_dir):
+    return bpe.round_trip(_docs(spark, sf_dir), vocabulary_path())
+
+
+def op9_token_orc(spark, sf_dir):
+    path = fresh_path(spark, "tokens")
+    token_files.write(_docs(spark, sf_dir), path, vocabulary_path())
+    return token_files.positions(spark, path)
+
+
+def op10_pfair_mixing(spark, sf_dir):
+    return mixing.schedule(_docs(spark, sf_dir).select("doc_id", "source"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op7_bpe_chunks": op7_bpe_chunks,
+    "op9_token_orc": op9_token_orc,
+    "op10_pfair_mixing": op10_pfair_mixing,
+}
 
 
 def _op1_sql() -> str:
