@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quillmatch.plans.storage import fresh_path
+from pyspark.sql import functions as F
 
-from . import bpe, mixing, quality_rules, token_files
+from quillmatch.plans.storage import fresh_path, written
+
+from . import bpe, language_id, mixing, quality_model, quality_rules, simhash, token_files, toxicity
 
 
 def vocabulary_path() -> str:
@@ -24,6 +26,37 @@ def op1_quality_rules(spark, sf_dir):
     )
 
 
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_toxicity(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
+def op4_simhash(spark, sf_dir):
+    """Besides the fingerprints: of each document whose id 50 divides, how many have fingerprints within three bits."""
+    prints = written(simhash.edited(_docs(spark, sf_dir)), "fingerprints")
+    sizes = prints.groupBy("fingerprint").count()
+    found = simhash.near(prints.where("doc_id % 50 = 0"), prints).join(sizes, "fingerprint")
+    found = found.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("count").alias("_n"))
+    return prints.join(found, "fingerprint", "left").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
+        F.when(F.col("doc_id") % 50 == 0, F.col("_n") - 1).alias("n_near"),
+    )
+
+
+def op5_language_id(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out_row(3, 1))
+    return language_id.identify(docs, language_id.fit(docs.where("not held_out")), ("doc_id", "held_out"))
+
+
+def op6_quality_model(spark, sf_dir):
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    return quality_model.score(docs, quality_model.fit(docs, _labels(spark, sf_dir)))
+
+
 def op7_bpe_chunks(spark, sf_dir):
     return bpe.round_trip(_docs(spark, sf_dir), vocabulary_path())
 
@@ -40,6 +73,10 @@ def op10_pfair_mixing(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_toxicity": op2_toxicity,
+    "op4_simhash": op4_simhash,
+    "op5_language_id": op5_language_id,
+    "op6_quality_model": op6_quality_model,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op9_token_orc": op9_token_orc,
     "op10_pfair_mixing": op10_pfair_mixing,
