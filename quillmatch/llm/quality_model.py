@@ -44,10 +44,11 @@ STATISTICS = {
 
 def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and one DOUBLE column for each statistic, whose names begin with ``_s_``."""
-    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("t"))
-    base = base.select(*keep, "t", F.greatest(F.length("t"), F.lit(1)).alias("n"), F.expr(r"array_remove(split(t, '\\s+'), '')").alias("w"))
-    base = base.select(*keep, "t", "n", "w", F.greatest(F.size("w"), F.lit(1)).alias("m"))
-    return base.select(*keep, *[F.expr(f"cast({e} as double)").alias(f"_s_{name}") for name, e in STATISTICS.items()])
+    row = F.struct(*[docs[c] for c in keep]).alias("_row")
+    base = docs.select(row, F.coalesce(F.col(text), F.lit("")).alias("t"))
+    base = base.select("_row", "t", F.greatest(F.length("t"), F.lit(1)).alias("n"), F.expr(r"array_remove(split(t, '\\s+'), '')").alias("w"))
+    base = base.select("_row", "t", "n", "w", F.greatest(F.size("w"), F.lit(1)).alias("m"))
+    return base.select("_row.*", *[F.expr(f"cast({e} as double)").alias(f"_s_{name}") for name, e in STATISTICS.items()])
 
 
 @dataclass(frozen=True)
@@ -152,6 +153,13 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``held_out``, ``score`` and ``predicted`` for every text."""
-    scored = statistics(docs, keep=keep).select(*keep, model.column().alias("score"))
-    return scored.select(*keep, held_out_row(5, 0).alias("held_out") if "doc_id" in keep else F.lit(None).cast("boolean").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    """``keep``, ``held_out``, ``score`` and ``predicted`` for every text of ``docs(doc_id, text)``."""
+    boxed = docs.select(F.struct(*[docs[c] for c in keep]).alias("_keep"), held_out_row(5, 0).alias("held_out"), "text")
+    scored = statistics(boxed, keep=("_keep", "held_out")).select("_keep", "held_out", model.column().alias("score"))
+    return scored.select("_keep.*", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that the model does not reject, with their own columns."""
+    boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), F.col("doc_id"), F.col("text"))
+    return score(boxed, model, threshold, ("_doc",)).where("predicted = 1").select("_doc.*")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from quillmatch.plans.storage import fresh_path, written
 
-from . import bpe, language_id, mixing, quality_model, quality_rules, simhash, token_files, toxicity
+from . import bpe, language_id, mixing, ngram_join, quality_model, quality_rules, simhash, substrings, token_files, toxicity
 
 
 def vocabulary_path() -> str:
@@ -35,6 +36,14 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
 
 
+def op3_ngram_join(spark, sf_dir):
+    return ngram_join.classes(_docs(spark, sf_dir))
+
+
+def op8_substrings(spark, sf_dir):
+    return substrings.digest(_docs(spark, sf_dir))
+
+
 def op4_simhash(spark, sf_dir):
     """Besides the fingerprints: of each document whose id 50 divides, how many have fingerprints within three bits."""
     prints = written(simhash.edited(_docs(spark, sf_dir)), "fingerprints")
@@ -74,12 +83,15 @@ def op10_pfair_mixing(spark, sf_dir):
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_simhash": op4_simhash,
     "op5_language_id": op5_language_id,
     "op6_quality_model": op6_quality_model,
     "op7_bpe_chunks": op7_bpe_chunks,
+    "op8_substrings": op8_substrings,
     "op9_token_orc": op9_token_orc,
     "op10_pfair_mixing": op10_pfair_mixing,
+    "pipeline": corpus_pipeline.run,
 }
 
 
@@ -109,5 +121,29 @@ WITH w AS (SELECT doc_id, coalesce(text, '') t, regexp_extract_all(coalesce(text
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {checks} kept FROM r"""
 
 
+_OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') ws FROM documents),
+ s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (
+   SELECT doc_id, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i+4], ' '))) g FROM w WHERE len(ws) >= 5
+   UNION ALL SELECT doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4)),
+ n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+ p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+ e AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+ u AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+ r(x, y) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.x, u.y FROM r JOIN u ON u.x = r.y)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id)
+ JOIN (SELECT x doc_id, min(y) component_id FROM r GROUP BY x) c USING (doc_id)"""
+
+_OP8_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') ws FROM documents),
+ win AS (SELECT doc_id, i, md5(array_to_string(ws[i:i+49], ' ')) g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) i FROM w)),
+ late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY g) low FROM win) WHERE low < doc_id),
+ gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) p FROM late),
+ words AS (SELECT doc_id, unnest(ws) word, unnest(range(1, len(ws) + 1)) p FROM w),
+ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) t, count(*) n FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT n_words, (len(ws) - coalesce(kept.n, 0))::BIGINT n_removed, sha256(coalesce(kept.t, '')) kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op3_ngram_join": _OP3_SQL, "op8_substrings": _OP8_SQL}
