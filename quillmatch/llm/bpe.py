@@ -211,30 +211,53 @@ class ChunkEncoder:
 
 
 class WordEncoder:
-    """Encodes texts by pieces that single spaces part, each piece once while it is remembered."""
+    """Encodes texts by pieces that single spaces part, each piece once while it is remembered.
 
-    def __init__(self, vocab: Vocabulary, limit: int = 48 << 20):
+    The pieces of a group of texts that aren't known yet are encoded together, as one text: between two of them a token
+    always ends, so the ids fall apart again by their lengths in bytes.
+    """
+
+    LIMIT = 500_000
+
+    def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
-        self.first, self.later = ByteCache(limit // 8), ByteCache(limit)
+        self.known: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        if self.vocab.special_split is not None and any(s in text for s in self.vocab.special):
-            out = []
-            for part in self.vocab.special_split.split(text):
-                special = self.vocab.special.get(part)
-                out.append(np.array([special], "<u4").tobytes() if special is not None else self._plain(part))
-            return b"".join(out)
-        return self._plain(text)
-
-    def _plain(self, text: str) -> bytes:
-        head, *rest = _GAP.split(text)
-        got = list(map(self.later.get, rest))
-        if None in got:
-            for k, ids in enumerate(got):
-                if ids is None:
-                    got[k] = self.later.get(rest[k]) or self.later.put(rest[k], self.vocab.encode_plain(" " + rest[k]).tobytes())
-        ids = self.first.get(head)
-        return (self.first.put(head, self.vocab.encode_plain(head).tobytes()) if ids is None else ids) + b"".join(got)
+        return self.encode_many([text])[0]
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit integers."""
+        special = self.vocab.special
+        out: list = [None] * len(texts)
+        plain = []
+        for k, text in enumerate(texts):
+            if any(s in text for s in special):
+                parts = self.vocab.special_split.split(text)
+                made = self.encode_many([p for p in parts if p not in special])
+                made.reverse()
+                out[k] = b"".join(np.array([special[p]], "<u4").tobytes() if p in special else made.pop() for p in parts)
+            else:
+                plain.append((k, _GAP.split(text)))
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        known = self.known
+        missing: set[str] = set()
+        for _, pieces in plain:
+            missing.update(pieces[1:])
+        new = [p for p in missing if p not in known]
+        if new:
+            ids = self.vocab.encode_plain(" " + " ".join(new))
+            ends = np.cumsum([len(p.encode()) + 1 for p in new])
+            cuts = (4 * (np.searchsorted(np.cumsum(self.vocab.lengths[ids]), ends) + 1)).tolist()
+            raw, begin = ids.tobytes(), 0
+            for piece, end in zip(new, cuts):
+                known[piece] = raw[begin:end]
+                begin = end
+        for k, (head, *rest) in plain:
+            first = self.vocab.encode_plain(head).tobytes() if head else b""
+            out[k] = first + b"".join([known[p] for p in rest])
+        return out
 
 
 _ENCODERS: dict = {}

@@ -43,7 +43,7 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, partitio
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                ids = [own.encode(raw.decode()) + end for raw in texts_of(part.column(1))]
+                ids = [x + end for x in own.encode_many([raw.decode() for raw in texts_of(part.column(1))])]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
