@@ -1 +1 @@
-
+"""Scalar similarity: kernels, Spark functions and their SQL names."""

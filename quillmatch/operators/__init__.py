@@ -1 +1 @@
-
+"""Joins, clustering and sparse-vector operators."""

@@ -1 +1 @@
-
+"""Plans shared by operators: written tables and connected components."""

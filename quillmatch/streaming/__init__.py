@@ -1 +1 @@
-
+"""The engine is batch only; streams can call its functions through ``foreachBatch``."""
