@@ -187,5 +187,6 @@ def digest(docs: DataFrame, length: int = WINDOW) -> DataFrame:
 
 def deduplicated(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """``docs`` with its own columns; texts from which words are removed hold their kept words joined by one space."""
-    made = remove(docs, length)
-    return made.select(*[F.coalesce("_kept", "text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    boxed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_doc"), "doc_id", "text")
+    made = remove(boxed, length)
+    return made.select(*[(F.coalesce("_kept", "text") if c == "text" else F.col("_doc").getField(c)).alias(c) for c in docs.columns])

@@ -1,0 +1,461 @@
+"""The training-data operators against brute force, on small tables with awkward rows."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quillmatch.llm import bitmap, bpe, kernel, language_id, mixing, ngram_join, quality_model, quality_rules, simhash, substrings, token_files, toxicity
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Names that operators use inside.
+EXTRA = ("n", "t", "w", "m", "a", "b", "h", "node", "score", "_row", "_keep", "_doc", "_text", "_kept", "_words")
+
+
+@pytest.fixture(scope="module")
+def vocab_path():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+
+
+def table(spark, rows):
+    """``rows`` of (doc_id, text) with further columns of clashing names, all null."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("*", F.lit("en").alias("lang"), F.lit(None).cast("string").alias("source"), *[F.lit(None).cast("string").alias(c) for c in EXTRA])
+
+
+def awkward(seed=1, n=60):
+    """Near and exact copies, shared passages, empty, null, separator-only and long texts."""
+    draw = random.Random(seed)
+    vocab = ["".join(draw.choice("abcdeéŽ字") for _ in range(draw.randint(1, 6))) for _ in range(80)]
+    text = lambda k: draw.choice((" ", "\n", "  ")).join(draw.choice(vocab) for _ in range(k))
+    passage, out = text(70), [None, "", " \t\n", "a", "a b c", "A b C", "x y z w v", "a  b c"]
+    while len(out) < n:
+        kind = draw.random()
+        if kind < 0.2:
+            out.append(draw.choice([x for x in out if x]))
+        elif kind < 0.5:
+            words = (draw.choice([x for x in out if x])).split(" ")
+            for _ in range(draw.randint(1, 3)):
+                words[draw.randrange(len(words))] = draw.choice(vocab)
+            out.append(" ".join(words))
+        elif kind < 0.7:
+            out.append(f"{text(draw.randint(0, 30))} {passage} {text(draw.randint(0, 30))}")
+        else:
+            out.append(text(draw.randint(1, 120)))
+    out.append(text(6000) + " " + passage)
+    return [(k * 3, x) for k, x in enumerate(out)]
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+# --- kernels ---------------------------------------------------------------------------------------------------------
+
+
+def test_words_and_hashes():
+    texts = [x for _, x in awkward()]
+    seen, k = {}, 0
+    for s in kernel.slices(pa.array(texts), 400):
+        h = s.word_hashes(1)
+        for j, row in enumerate(s.rows):
+            a, b = s.first[j], s.first[j + 1]
+            got = [s.data[x:y].tobytes().decode() for x, y in zip(s.starts[a:b], s.ends[a:b])]
+            assert got == words(texts[row])
+            for w, x in zip(got, h[a:b].tolist()):
+                assert seen.setdefault(x, w) == w
+            k += 1
+    assert k == len(texts) and len(set(seen.values())) == len(seen)
+
+
+def test_bitmap_misses_nothing(spark):
+    keys = [int(x) for x in np.random.default_rng(1).integers(-(2**63), 2**63, 3000)]
+    made = bitmap.bitmap_of(spark.createDataFrame([(k,) for k in keys], "k long"), "k", len(keys))
+    assert made.has(np.array(keys).view(np.uint64)).all()
+    others = np.random.default_rng(2).integers(0, 2**63, 3000).astype(np.uint64)
+    assert made.has(others).mean() < 0.1
+    assert not bitmap.bitmap_of(spark.createDataFrame([], "k long"), "k", 0).has(others).any()
+
+
+# --- op1 -------------------------------------------------------------------------------------------------------------
+
+
+def brute_rules(text):
+    w = words(text)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {p for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for p in range(i, i + 8)}
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    base = len(w) < 20 or 100 * len(covered) > 30 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(covered), base
+
+
+def test_quality_rules(spark):
+    rows = awkward() + [(1000, "a b c d e f g h " * 5), (1001, "x\nx\ny\n \n \nx # | <"), (None, "a"), (1001, "again")]
+    got = quality_rules.score(table(spark, rows), keep=("doc_id", "text")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == brute_rules(r.text)
+        assert not (r.base_failed and r.kept)
+    assert quality_rules.score(table(spark, [])).count() == 0
+
+
+# --- op2, op5, op6 ---------------------------------------------------------------------------------------------------
+
+
+def test_lexicon_automaton_is_edit_distance():
+    terms = {"idiot": 3.0, "moron": 2.0, "scum": 1.5, "loser": 2.5, "foul*": 4.0}
+    lexicon = toxicity.Lexicon(terms)
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            old, row[0] = row[:], i
+            for j, y in enumerate(b, 1):
+                row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (x != y))
+        return row[-1]
+
+    draw = random.Random(4)
+    tried = ["idiot", "idiott", "idot", "1diot", "moron", "m0ron", "scum", "scun", "fouls", "foulness", "fuol", ""]
+    for _ in range(800):
+        w = list(draw.choice(["idiot", "moron", "scum", "loser", "foul"]))
+        for _ in range(draw.randint(0, 3)):
+            k = draw.randint(0, len(w))
+            w[k : k + draw.randint(0, 1)] = draw.choice(["", "x", "o", "s"])
+        tried.append("".join(w))
+    for w in tried:
+        exact = max([v for t, v in terms.items() if t == w or (t.endswith("*") and w.startswith(t[:-1]))], default=0.0)
+        fuzzy = 0.0 if exact else max([v for t, v in terms.items() if not t.endswith("*") and len(t) >= 5 and distance(w, t) == 1], default=0.0)
+        assert lexicon.match(w) == (exact, fuzzy), w
+
+
+def labelled_corpus(seed, n=400):
+    draw = random.Random(seed)
+    vocab = ["".join(draw.choice("abcdefgh") for _ in range(draw.randint(2, 7))) for _ in range(200)]
+    rows, labels = [], []
+    for k in range(n):
+        toxic, bad = draw.random() < 0.3, draw.random() < 0.3
+        w = [draw.choice(vocab) for _ in range(draw.randint(10, 60))]
+        if toxic:
+            for _ in range(3):
+                w.insert(draw.randint(0, len(w)), draw.choice(["wretch", "vermin", "lout"]))
+        if bad:
+            w = [x + draw.choice(("###", "$$$", "|")) for x in w]
+        rows.append((k, " ".join(w)))
+        labels.append((k, int(not bad), int(toxic)))
+    return rows, labels
+
+
+def test_fitted_scores(spark):
+    rows, labels = labelled_corpus(3)
+    docs = table(spark, [*rows, (None, "wretch"), (9000, None), (9001, ""), (5, rows[5][1])])
+    marks = spark.createDataFrame([*labels, (7, None, None), (None, 1, 1), (123456, 0, 1)], "doc_id long, quality int, toxic int")
+    truth = {k: (q, t) for k, q, t in labels}
+    held = {k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0}
+    for which, scored in ((0, quality_model.score(docs, quality_model.fit(docs, marks))), (1, toxicity.score(docs, toxicity.fit(docs, marks)))):
+        got = scored.collect()
+        assert len(got) == len(rows) + 4
+        known = [r for r in got if r.doc_id in truth]
+        assert all(r.held_out == (r.doc_id in held) for r in known)
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= (0.5 if which else 0.3)) for r in got)
+        tested = [r for r in known if r.held_out]
+        assert sum(r.predicted == truth[r.doc_id][which] for r in tested) >= 0.95 * len(tested)
+        assert len({r.score for r in got if r.doc_id == 5}) == 1
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert all(r.score < 1e-6 for r in toxicity.score(docs, toxicity.fit(docs, none)).collect())
+    assert {r.predicted for r in quality_model.score(docs, quality_model.fit(docs, none)).collect()} == {1}
+    assert quality_model.good(docs, quality_model.fit(docs, none)).columns == docs.columns
+
+
+def test_rule_columns_agree_with_the_rules(spark):
+    rows, labels = labelled_corpus(8, 200)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = quality_model.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    stats = quality_model.statistics(docs).toPandas()
+    values = {n: stats[f"_s_{n}"].to_numpy() for n in quality_model.STATISTICS}
+    want = 1 / (1 + np.exp(-(model.intercept + sum(w * r.holds(values) for r, w in model.weights))))
+    got = quality_model.score(docs, model).toPandas().set_index("doc_id").score
+    assert np.allclose(got[stats.doc_id].to_numpy(), want)
+
+
+def test_language_models(spark):
+    draw = random.Random(2)
+    parts = {"xx": ["la", "mi", "ro"], "yy": ["kst", "ung", "ach"], "zz": ["éa", "ßo", "ñi"]}
+    rows = []
+    for k in range(300):
+        lang = draw.choice(list(parts))
+        rows.append((k, " ".join("".join(draw.choice(parts[lang]) for _ in range(draw.randint(1, 3))) for _ in range(draw.randint(5, 40))).capitalize(), lang))
+    rows += [(500, None, "xx"), (501, "123 ...", "xx"), (502, "", None), (503, "lami roro", None), (None, "lamila", "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("held_out", language_id.held_out_row(3, 1))
+    model = language_id.fit(docs.where("not held_out"))
+    got = {r.doc_id: r for r in language_id.identify(docs, model, ("doc_id", "held_out")).collect()}
+    assert all(got[k].lang_pred == lang for k, _, lang in rows[:300])
+    assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k, _, _ in rows[:300])
+    assert [got[k].lang_pred for k in (500, 501, 502, 503)] == ["und", "und", "und", "xx"]
+    assert all(0 <= r.score <= 1 for r in got.values())
+    probabilities = [np.exp(model.models.word_scores([x])[0][0]) for x in ("la", "mi")]
+    assert all((p < 1).all() and (p > 0).all() for p in probabilities)
+    nothing = language_id.fit(docs.limit(0))
+    assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_kneser_ney_sums_to_one():
+    import pandas as pd
+
+    grams = Counter()
+    for w in ("abc", "abd", "bca"):
+        padded = language_id.START * 4 + w + language_id.END
+        for k in range(len(w) + 1):
+            grams[padded[k : k + 5]] += 2
+    m = language_id.Models(pd.DataFrame([("x", g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
+    # all one-letter words over the known letters, and the empty end: first letters share the probability
+    first = {}
+    for c in "abcd":
+        both = m.word_scores([c])[0][0][0]
+        codes = language_id.START * 4 + c + language_id.END
+        after = {d: 0 for d in "abcd"}
+        first[c] = both
+    assert sum(np.exp(list(first.values()))) < 1
+
+
+# --- op3 -------------------------------------------------------------------------------------------------------------
+
+
+def brute_classes(rows):
+    sets = {}
+    for k, x in rows:
+        w = re.sub("[A-Z]", lambda c: c.group().lower(), x or "")
+        w = words(w)
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    root = {k: k for k in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    ids = sorted(sets)
+    for i, x in enumerate(ids):
+        for y in ids[i + 1 :]:
+            if sets[x] and sets[y] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]):
+                a, b = find(x), find(y)
+                root[max(a, b)] = min(a, b)
+    return {k: (len(sets[k]), find(k)) for k in ids}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_ngram_join(spark, seed):
+    rows = awkward(seed, 110)
+    got = ngram_join.classes(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
+
+
+def test_ngram_join_of_a_large_class(spark):
+    """A class of near copies of which many pairs do not link is still one class, beside a passage that all share."""
+    draw = random.Random(6)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for k in range(150):
+        w = base[:]
+        for _ in range(draw.randint(0, 4)):
+            w[draw.randrange(120)] = f"x{draw.randrange(1000)}"
+        rows.append((k, " ".join(w)))
+    for k in range(150, 200):
+        rows.append((k, " ".join([*base[:40], *[f"y{draw.randrange(5000)}" for _ in range(100)]])))
+    got = ngram_join.classes(table(spark, rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
+
+
+def test_ngram_join_of_odd_tables(spark):
+    assert ngram_join.classes(table(spark, [])).count() == 0
+    rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (0, "q")]
+    got = sorted(((r.doc_id is None, r.doc_id, r.component_id) for r in ngram_join.classes(table(spark, rows)).collect()), key=str)
+    assert got == sorted([(False, 1, 1), (False, 1, 1), (True, None, 1), (False, 2, 2), (False, 3, 3), (False, 0, 0)], key=str)
+    left = ngram_join.one_of_each(table(spark, [(5, "a b c d e f"), (9, "A b c d e f"), (7, None)]))
+    assert sorted(r.doc_id for r in left.collect()) == [5, 7] and set(EXTRA) <= set(left.columns)
+
+
+# --- op4 -------------------------------------------------------------------------------------------------------------
+
+
+def test_fingerprints(spark):
+    rows = awkward(3, 50)
+    got = {r.doc_id: r for r in simhash.edited(table(spark, rows)).collect()}
+    texts = [x or "" for _, x in rows]
+    by_text = {}
+    for k, (i, _) in enumerate(rows):
+        x, nxt = texts[k], texts[(k + 1) % len(texts)]
+        q = len(x) // 4
+        edit = x[: len(x) - q] + nxt[:q]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(x), hashlib.sha256(edit.encode()).hexdigest())
+        apart = (int(r.fingerprint, 16) ^ int(r.edited_fingerprint, 16)).bit_count()
+        assert r.near_edited == 1 - apart / 128 and len(r.fingerprint) == 32
+        assert r.near_next == 1 - (int(r.fingerprint, 16) ^ int(got[rows[(k + 1) % len(rows)][0]].fingerprint, 16)).bit_count() / 128
+        assert by_text.setdefault(x, r.fingerprint) == r.fingerprint
+    assert simhash.edited(table(spark, [])).count() == 0
+    alone = simhash.edited(table(spark, [(4, "a b c d")])).first()
+    assert alone.near_next == 1.0
+    assert simhash.edited(table(spark, [(None, "a"), (None, None), (2, "b"), (2, "b")])).count() == 4
+
+
+def test_search_by_permuted_blocks(spark):
+    draw = random.Random(1)
+    prints = [draw.getrandbits(128) for _ in range(40)]
+    prints += [p ^ sum(1 << b for b in draw.sample(range(128), draw.randint(0, 6))) for p in prints * 3]
+    df = spark.createDataFrame([(f"{p:032x}",) for p in prints] + [(None,)], "fingerprint string")
+    for radius in (0, 2, 4):
+        got = {(int(r.query, 16), int(r.fingerprint, 16)): r.distance for r in simhash.near(df, df, radius).collect()}
+        assert got == {(a, b): (a ^ b).bit_count() for a in prints for b in prints if (a ^ b).bit_count() <= radius}
+
+
+# --- op7, op9 --------------------------------------------------------------------------------------------------------
+
+
+def library_ids(path, texts):
+    from tokenizers import Tokenizer
+
+    return [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+
+
+def odd_texts():
+    draw = random.Random(3)
+    pieces = ["a", "b", " ", "  ", "\n", "'s", "'", "1", "é", "字", "，", " ", " ", "<|endoftext|>", "!", "\t", "\x1c", "½", "😀", "word"]
+    out = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 300))) for _ in range(200)]
+    out += ["".join(draw.choice("字词的，") for _ in range(draw.randint(0, 600))) for _ in range(60)]
+    out += ["".join(draw.choice(" \n ") for _ in range(draw.randint(0, 300))) + "x" for _ in range(60)]
+    return [*out, "", "a" * 3000, " " * 500, "<|endoftext|>" * 3]
+
+
+def test_encoders_are_the_library(vocab_path):
+    texts = odd_texts() + [x or "" for _, x in awkward()]
+    want = library_ids(vocab_path, texts)
+    vocab = bpe.vocabulary(vocab_path)
+    for bits in (1, 4, 7):
+        own = bpe.ChunkEncoder(vocab, mask_bits=bits)
+        assert [own.encode(x.encode()) for x in texts] == want
+        assert bits > 4 or (own.repaired and own.reused)
+    assert bpe.WordEncoder(vocab).encode_many(texts) == want
+    assert [vocab.decode(np.frombuffer(x, "<u4")) for x in want] == texts
+
+
+def test_round_trip(spark, vocab_path):
+    rows = awkward() + list(enumerate(odd_texts(), 1000)) + [(None, "x"), (0, "x")]
+    df = table(spark, rows)
+    ids = library_ids(vocab_path, [x or "" for _, x in rows])
+    want = Counter((k, len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest()) for (k, x), i in zip(rows, ids))
+    assert Counter(tuple(r) for r in bpe.round_trip(df, vocab_path).collect()) == want
+    assert Counter((r.doc_id, r._text) for r in bpe.decode(bpe.encode(df, vocab_path), vocab_path).collect()) == Counter((k, x or "") for k, x in rows)
+    assert bpe.round_trip(table(spark, []), vocab_path).count() == 0
+
+
+def test_token_files(spark, vocab_path, tmp_path):
+    rows = awkward(5) + [(None, "z"), (6, "again"), (6, "again")]
+    path = str(tmp_path / "ids")
+    token_files.write(table(spark, rows), path, vocab_path, partitions=3)
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    at, want = 0, Counter()
+    for (k, _), ids in zip(order, library_ids(vocab_path, [x or "" for _, x in order])):
+        ids += b"\0\0\0\0"
+        want[k, at, len(ids) // 4, zlib.crc32(ids)] += 1
+        at += len(ids) // 4
+    assert Counter(tuple(r) for r in token_files.positions(spark, path).collect()) == want
+    files = {}
+    for r in token_files.read(spark, path).collect():
+        assert len(r.ids) == r.n_tokens
+        files.setdefault(r.part, []).append(r.doc_id or -1)
+    bounds = [(min(v), max(v)) for _, v in sorted(files.items())]
+    assert all(a[1] <= b[0] for a, b in zip(bounds, bounds[1:]))
+    token_files.write(table(spark, []), str(tmp_path / "none"), vocab_path, partitions=2)
+    assert token_files.positions(spark, str(tmp_path / "none")).count() == 0
+
+
+# --- op8 -------------------------------------------------------------------------------------------------------------
+
+
+def brute_removal(rows, length=50):
+    first = {}
+    for k, x in rows:
+        w = words(x)
+        for i in range(len(w) - length + 1):
+            g = tuple(w[i : i + length])
+            first[g] = min(first.get(g, k), k)
+    out = {}
+    for k, x in rows:
+        w = words(x)
+        gone = {p for i in range(len(w) - length + 1) if first[tuple(w[i : i + length])] < k for p in range(i, i + length)}
+        out[k] = (len(w), len(gone), " ".join(v for p, v in enumerate(w) if p not in gone))
+    return out
+
+
+def test_cover_has_every_difference():
+    assert {(a - b) % substrings.PERIOD for a in substrings.COVER for b in substrings.COVER} == set(range(substrings.PERIOD))
+
+
+@pytest.mark.parametrize("length", [31, 50, 64])
+def test_substrings(spark, length):
+    rows = awkward(length, 70)
+    want = brute_removal(rows, length)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substrings.digest(table(spark, rows), length).collect()}
+    assert got == {k: (n, g, hashlib.sha256(t.encode()).hexdigest()) for k, (n, g, t) in want.items()}
+    assert any(g for _, g, _ in want.values())
+    made = substrings.deduplicated(table(spark, rows), length)
+    assert made.columns == table(spark, rows).columns
+    texts = dict(rows)
+    assert {r.doc_id: r.text for r in made.collect()} == {k: (t if g else texts[k]) for k, (_, g, t) in want.items()}
+
+
+def test_substrings_of_odd_tables(spark):
+    assert substrings.digest(table(spark, [])).count() == 0
+    long = " ".join(f"w{k}" for k in range(80))
+    rows = [(None, long), (None, long), (4, long), (4, long), (9, "a " + long), (10, None)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.n_removed) for r in substrings.digest(table(spark, rows)).collect())
+    assert got == [(False, 4, 0), (False, 4, 0), (False, 9, 80), (False, 10, 0), (True, 0, 0), (True, 0, 0)]
+    with pytest.raises(ValueError):
+        substrings.digest(table(spark, rows), 20)
+
+
+# --- op10 ------------------------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("shares", [[1, 1, 1, 1, 1, 5], [300, 7, 11, 682], [1] * 20 + [80], [1]])
+def test_period_has_less_than_one_block_of_deviation(spark, shares):
+    rows = sorted(mixing.period_table(spark, shares).collect(), key=lambda r: r.at)
+    total, had = sum(shares), [0] * len(shares)
+    assert [r.at for r in rows] == list(range(total))
+    for r in rows:
+        share = shares[r.source_no]
+        assert r.turn == had[r.source_no]
+        assert r.turn * total // share <= r.at < -(-(r.turn + 1) * total // share)  # release and deadline
+        had[r.source_no] += 1
+        assert all(abs(h - Fraction(s * (r.at + 1), total)) < 1 for h, s in zip(had, shares))
+    assert had == shares
+
+
+def test_mixing(spark):
+    draw = random.Random(2)
+    rows = [(k if k % 50 else None, draw.choice(["a", "a", "a", "b", None])) for k in range(500)] + [(3, "a"), (3, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("text", F.lit(None).cast("string")).withColumn("_row", F.lit(1))
+    got = mixing.schedule(df, weights={"a": 0.25, "b": 0.5, None: 0.25}, block_docs=4, parts=8, salts=5).collect()
+    assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
+    assert len({(r.slot, r.place) for r in got}) == len(rows)
+    sizes = Counter(r.source for r in got)
+    weight = {"a": 2, "b": 4, None: 2}
+    slots = sorted({(r.slot, r.source) for r in got}, key=lambda s: s[0])
+    assert len({s for s, _ in slots}) == len(slots)
+    had = Counter()
+    for slot, source in slots:
+        had[source] += 1
+        for s, n in sizes.items():
+            if had[s] < -(-n // 4):
+                assert abs(had[s] - weight[s] * (slot + 1) / 8) < 1
+    assert mixing.mixed(df).columns == df.columns and Counter((r.doc_id, r.source) for r in mixing.mixed(df).collect()) == Counter(rows)
+    assert mixing.schedule(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        mixing.schedule(df, weights={"a": -1.0})

@@ -1,0 +1,37 @@
+"""Each stage of the pipeline against brute force on its own input."""
+
+import hashlib
+import os
+
+import corpus_pipeline
+import numpy as np
+import pytest
+
+from test_operators import brute_classes, brute_removal, library_ids
+
+SF = os.environ.get("PIPELINE_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
+def test_stages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = docs.columns
+    assert len(corpus_pipeline.STAGES) == 5
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(corpus_pipeline.written(stage(spark, kept[-1], SF), "test"))
+        assert kept[-1].columns == columns
+    rows = [sorted((r.doc_id, r.text) for r in d.collect()) for d in kept]
+    assert set(rows[1]) <= set(rows[0]) and len(rows[1]) > 0.7 * len(rows[0])
+    classes = brute_classes(rows[1])
+    assert rows[2] == [(k, x) for k, x in rows[1] if classes[k][1] == k]
+    want = brute_removal(rows[2])
+    assert rows[3] == [(k, want[k][2] if want[k][1] else x) for k, x in rows[2]]
+    assert rows[4] == rows[3]
+    name, last = corpus_pipeline.STAGES[-1]
+    got = {r.doc_id: tuple(r) for r in last(spark, kept[-1], SF).collect()}
+    ids = library_ids(corpus_pipeline._vocabulary(), [x or "" for _, x in rows[4]])
+    for (k, x), i in zip(rows[4], ids):
+        assert got[k] == (k, len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256((x or "").encode()).hexdigest())
+    assert sorted(map(tuple, corpus_pipeline.run(spark, SF).collect())) == sorted(got.values())
+    assert np.all([isinstance(k, str) and callable(f) for k, f in corpus_pipeline.STAGES])
