@@ -2,8 +2,10 @@
 
 The matched total of two strings is the length of their longest common substring (the one earliest in ``a``, then in
 ``b``) plus the matched totals of what is left and right of it. The search for the longest common substring uses that
-"the windows share a substring of length k" is monotone in k: k gallops and is then bisected, each test with a set of
-slices. Short windows go to the standard library's matcher, which defines the value.
+"the windows share a substring of length k" is monotone in k: k gallops and is then bisected. Each test compares the
+hashes of all runs of k characters, which prefix sums give at once; what they find is confirmed on the strings, and equal
+runs always have equal hashes, so the result is exact. Short windows go to the standard library's matcher, which defines
+the value.
 """
 
 from __future__ import annotations
@@ -11,31 +13,52 @@ from __future__ import annotations
 import math
 from difflib import SequenceMatcher
 
-SMALL = 160
+import numpy as np
 
+SMALL = 64
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def _shared(a: str, al: int, ar: int, grams: set, k: int) -> int:
-    """The first place of ``a`` whose ``k`` characters are among ``grams``, or -1."""
-    for i in range(al, ar - k + 1):
-        if a[i : i + k] in grams:
-            return i
-    return -1
 
+def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse modulo 2**64, ``n`` at least."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, x in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            steps = np.full(size, x, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
 
-def _longest(a: str, al: int, ar: int, b: str, bl: int, br: int, cap: int) -> tuple[int, int, int]:
+
+def _sums(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    codes = (codes + np.uint64(7)) * np.uint64(0xBF58476D1CE4E5B9)
+    out = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes ^ codes >> np.uint64(31)) * _power(len(codes))[0][: len(codes)], out=out[1:])
+    return out
+
+
+def _longest(a: str, sa: np.ndarray, al: int, ar: int, b: str, sb: np.ndarray, bl: int, br: int, cap: int) -> tuple[int, int, int]:
     """Place in ``a``, place in ``b`` and length of the longest common substring of two windows; none is longer than ``cap``."""
     top = min(ar - al, br - bl, cap)
     best = (al, bl, 0)
+    inverse = _power(max(ar, br))[1]
 
     def test(k: int) -> bool:
         nonlocal best
-        grams = {b[j : j + k] for j in range(bl, br - k + 1)}
-        i = _shared(a, al, ar, grams, k)
-        if i >= 0:
-            best = (i, b.find(a[i : i + k], bl, br), k)
-        return i >= 0
+        ha = (sa[al + k : ar + 1] - sa[al : ar - k + 1]) * inverse[al : ar - k + 1]
+        hb = (sb[bl + k : br + 1] - sb[bl : br - k + 1]) * inverse[bl : br - k + 1]
+        hb.sort()
+        at = np.minimum(np.searchsorted(hb, ha), len(hb) - 1)
+        for i in np.flatnonzero(hb[at] == ha).tolist():
+            j = b.find(a[al + i : al + i + k], bl, br)
+            if j >= 0:
+                best = (al + i, j, k)
+                return True
+        return False
 
-    low, k = 0, 1
+    low, k = 0, min(16, top)
     while k <= top and test(k):
         low, k = k, k * 2
     high = min(k, top + 1)
@@ -52,6 +75,9 @@ def matched(a: str, b: str) -> int:
     """The matched total of ``a`` and ``b``; the order of the arguments matters."""
     if a == b:
         return len(a)
+    if min(len(a), len(b)) < SMALL:
+        return sum(m.size for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks())
+    sa, sb = _sums(a), _sums(b)
     total, stack = 0, [(0, len(a), 0, len(b), max(len(a), len(b)))]
     while stack:
         al, ar, bl, br, cap = stack.pop()
@@ -60,7 +86,7 @@ def matched(a: str, b: str) -> int:
         if ar - al < SMALL or br - bl < SMALL:
             total += sum(m.size for m in SequenceMatcher(None, a[al:ar], b[bl:br], autojunk=False).get_matching_blocks())
             continue
-        i, j, k = _longest(a, al, ar, b, bl, br, cap)
+        i, j, k = _longest(a, sa, al, ar, b, sb, bl, br, cap)
         if k:
             total += k
             stack.append((al, i, bl, j, k))
