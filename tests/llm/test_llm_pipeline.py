@@ -7,7 +7,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from test_operators import brute_classes, brute_removal, library_ids
+from test_llm_operators import brute_classes, brute_removal, library_ids
 
 SF = os.environ.get("PIPELINE_SF_DIR", "/root/testdata/sf0.001")
 
