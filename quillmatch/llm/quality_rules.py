@@ -44,7 +44,7 @@ RULES = (
     Rule("word_length", "mean_word_chars", 2, 15),
     Rule("symbols", "symbol_pct", None, 10),
     Rule("stop_words", "stop_pct", 2, None),
-    Rule("duplicate_lines", "dup_line_pct", None, 30),
+    Rule("duplicate_lines", "dup_line_pct", None, 50),
 )
 
 
