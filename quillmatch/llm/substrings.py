@@ -9,10 +9,11 @@ suitable offset below ``PERIOD`` is added to both, so two equal windows, whereve
 same offset inside. Anchors that occur in one document only are of no further interest. Around each of the others the match
 is extended: the windows over it are named by 128-bit hashes, and for each name the least document id is found.
 
-Anchors are combined before their shuffle (least and greatest id); a bitmap of bounded size tells the second pass over the
-texts where to extend, and what it lets through wrongly only costs work. Windows, too, are combined before the shuffle, and
-the join that brings the least id back to them is an equi-join whose large partitions adaptive execution can split. Nothing
-is collected per window, anchor or document.
+Copies of a whole text need no windows: all their words go, if they have a window at all. So an anchor is shared only if it
+occurs in two different texts. Anchors are combined before their shuffle (least and greatest text); a bitmap of bounded size
+tells the second pass over the texts where to extend, and what it lets through wrongly only costs work. Windows, too, are
+combined before the shuffle, and the join that brings the least id back to them is an equi-join whose large partitions
+adaptive execution can split. Nothing is collected per window, anchor or document.
 
 Defined results: null texts have no words; rows with a null id are kept whole and are never a reason to remove; rows of one
 id are one document, so they never remove from each other; an empty table gives an empty result; further columns are
@@ -57,23 +58,28 @@ def _merge(keys: np.ndarray, low: np.ndarray, high: np.ndarray):
     return keys[begin], np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin)
 
 
+def _text_keys(s: Slice) -> np.ndarray:
+    """The first eight bytes of each text's md5, as an unsigned number."""
+    raw, at = s.data.tobytes(), s.offsets.tolist()
+    return np.array([int.from_bytes(hashlib.md5(raw[a:b]).digest()[:8], "big") for a, b in zip(at, at[1:])], U)
+
+
 def shared_anchors(docs: DataFrame, width: int) -> tuple[Bitmap, int]:
-    """A bitmap of the anchors that occur in two documents or more, and their number."""
+    """A bitmap of the anchors that occur in two different texts or more, and their number."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             found = []
-            for s in slices(batch.column(1)):
+            for s in slices(batch.column(0)):
                 h, _, own = _anchors(s, width)
-                d = ids[s.rows.start : s.rows.stop][own]
                 if len(h):
-                    found.append(_merge(h, d, d))
+                    texts = signed(_text_keys(s))[own]
+                    found.append(_merge(h, texts, texts))
             if found:
                 h, low, high = _merge(*[np.concatenate(x) for x in zip(*found)])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(low), pa.array(high)], names=["anchor", "low", "high"])
 
-    anchors = docs.select("doc_id", "text").mapInArrow(run, "anchor long, low long, high long")
+    anchors = docs.select("text").mapInArrow(run, "anchor long, low long, high long")
     common = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
     common = written(common, "anchors")
     n = common.count()
@@ -93,11 +99,19 @@ def _windows_near(s: Slice, hits: np.ndarray, own: np.ndarray, length: int, widt
     return starts, np.searchsorted(s.first, starts, side="right") - 1
 
 
+#: Spark's form of ``_row_key``: tells apart the texts of rows with one id, by 31 bits of their md5.
+_ROW_KEY = "cast(conv(substring(md5(cast(text as binary)), 1, 8), 16, 10) as long) & 2147483647"
+
+
+def _row_key(text_keys: np.ndarray) -> np.ndarray:
+    return (text_keys >> U(32)) & U(0x7FFFFFFF)
+
+
 def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
-    """``(doc_id, spans)``: for each document of ``docs(doc_id, text)`` with words to remove, their places.
+    """``(doc_id, row_key, spans)``: for each text of ``docs(doc_id, text)`` with words to remove, their places.
 
-    ``spans`` holds (first word, word behind the last) pairs, ascending and apart. A document is one row here; of rows with
-    one id each text keeps its own numbers, told apart by ``text_hash``.
+    ``spans`` holds (first word, word behind the last) pairs, ascending and apart; it is null if all words go, provided that
+    there are as many as a window has. ``row_key`` tells the texts of rows with one id apart.
     """
     if length < PERIOD:
         raise ValueError(f"windows must have {PERIOD} words at least")
@@ -117,25 +131,23 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
                     continue
                 starts, own = _windows_near(s, at[hit], own[hit], length, width)
                 names = [run_hashes(s.word_hashes(w), starts, starts + length, n) for w, n in zip(_WORD_SEEDS, _NAME_SEEDS)]
-                texts = np.array([_text_hash(s.data[a:b].tobytes()) for a, b in zip(s.offsets[:-1], s.offsets[1:])], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(names[0])), pa.array(signed(names[1])), pa.array(ids[s.rows.start : s.rows.stop][own]), pa.array(texts[own]), pa.array((starts - s.first[:-1][own]).astype(np.int32))],
-                    names=["a", "b", "doc_id", "text_hash", "at"],
-                )
+                place = _row_key(_text_keys(s))[own] << U(32) | (starts - s.first[:-1][own]).astype(U)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(names[0])), pa.array(signed(names[1])), pa.array(ids[s.rows.start : s.rows.stop][own]), pa.array(signed(place))], names=["a", "b", "doc_id", "place"])
 
-    windows = written(rows.mapInArrow(run, "a long, b long, doc_id long, text_hash long, at int"), "windows")
+    # Named twice rather than written: naming windows again costs less than their room on disk.
+    windows = rows.mapInArrow(run, "a long, b long, doc_id long, place long")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    late = windows.join(least.select("a", "b", "low"), ["a", "b"]).where("doc_id > low").select("doc_id", "text_hash", "at")
-    spans = late.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    late = windows.join(least.select("a", "b", "low"), ["a", "b"]).where("doc_id > low").select("doc_id", "place")
+    spans = late.groupBy("doc_id", F.shiftright("place", 32).alias("row_key")).agg(F.sort_array(F.collect_set(F.expr("cast(place & 4294967295 as int)"))).alias("at"))
     joined = f"""aggregate(at, cast(array() as array<struct<a: int, b: int>>), (acc, x) -> case
         when size(acc) > 0 and element_at(acc, -1).b >= x
         then concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', x + {length})))
         else concat(acc, array(named_struct('a', x, 'b', x + {length}))) end)"""
-    return spans.select("doc_id", "text_hash", F.expr(joined).alias("spans"))
-
-
-def _text_hash(raw: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+    parts = spans.select("doc_id", "row_key", F.expr(joined).alias("spans"))
+    named = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("name"), F.expr(_ROW_KEY).alias("row_key"))
+    first = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    copies = named.join(first.select("name", "low"), "name").where("doc_id > low").select("doc_id", "row_key").distinct()
+    return parts.join(copies, ["doc_id", "row_key"], "left_anti").unionByName(copies.select("doc_id", "row_key", F.lit(None).cast(parts.schema["spans"].dataType).alias("spans")))
 
 
 def remove(docs: DataFrame, length: int = WINDOW) -> DataFrame:
@@ -146,8 +158,8 @@ def remove(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     columns = docs.columns
     boxed = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
     spans = written(repeated_spans(docs.select("doc_id", "text"), length), "spans")
-    # The texts of one id are few; all their spans go along with each and the text's own are found by its hash.
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("text_hash", "spans")).alias("_spans"))
+    # The texts of one id are few; all their spans go along with each and the text's own are found by its key.
+    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "spans")).alias("_spans"))
     met = boxed.join(spans, boxed["_id"] == spans["doc_id"], "left").select("_row", "_spans")
     schema = met.select("_row").schema.add("_words", "long").add("_removed", "long").add("_kept", "string")
 
@@ -156,18 +168,17 @@ def remove(docs: DataFrame, length: int = WINDOW) -> DataFrame:
             spans_of = batch.column(1).to_pylist()
             n, gone, kept = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
             for s in slices(batch.column(0).field(columns.index("text"))):
+                keys = None
                 for k, row in enumerate(s.rows):
-                    a, b = int(s.first[k]), int(s.first[k + 1])
-                    n[row] = b - a
-                    if not spans_of[row]:
+                    n[row] = int(s.first[k + 1]) - int(s.first[k])
+                    if not spans_of[row] or n[row] < length:
                         continue
-                    raw = s.data[s.offsets[k] : s.offsets[k + 1]].tobytes()
-                    own = _text_hash(raw)
-                    mine = [x["spans"] for x in spans_of[row] if x["text_hash"] == own]
+                    keys = _row_key(_text_keys(s)) if keys is None else keys
+                    mine = [x["spans"] for x in spans_of[row] if x["row_key"] == int(keys[k])]
                     if not mine:
                         continue
-                    words, out, at = raw.split(), [], 0
-                    for span in mine[0]:
+                    words, out, at = s.data[s.offsets[k] : s.offsets[k + 1]].tobytes().split(), [], 0
+                    for span in mine[0] or [{"a": 0, "b": len(words)}]:
                         out += words[at : span["a"]]
                         at = span["b"]
                     out += words[at:]
