@@ -83,7 +83,8 @@ def shared_anchors(docs: DataFrame, width: int) -> tuple[Bitmap, int]:
     common = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
     common = written(common, "anchors")
     n = common.count()
-    return bitmap_of(common, "anchor", n), n
+    # An anchor that passes wrongly costs thirty windows, so the bitmap is a sparse one.
+    return bitmap_of(common, "anchor", n, bits_a_key=32), n
 
 
 def _windows_near(s: Slice, hits: np.ndarray, own: np.ndarray, length: int, width: int) -> tuple[np.ndarray, np.ndarray]:
