@@ -186,8 +186,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 differ = np.flatnonzero(items[:k] != before[:k])
                 shared = int(differ[0]) if len(differ) else k  # depth of the common path in the trie
                 if dead is not None and shared >= dead[0]:
-                    # the path was left at this depth; it is dead for any set that is not smaller
-                    if dead[1] + min(m, size) - dead[0] < need and m <= dead[2]:
+                    # the path was left at this depth, with so much overlap: what remains may not reach this need either
+                    if dead[1] + min(m - dead[0], size - dead[1]) < need:
                         continue
                 shared = min(shared, len(sums) - 1)
                 grown = [sums[: shared + 1]]
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     grown.append(count)
                     at, have = at + len(step), int(count[-1])
                     if have + min(m - at, size - have) < need:
-                        dead = (at, have, m)
+                        dead = (at, have)
                         break
                 sums, before = np.concatenate(grown), items[:at]
                 if dead is None and have >= need:
@@ -240,6 +240,7 @@ def link_sets(docs: DataFrame, text: str = "text", percent: int = PERCENT, shing
     # A shingle of which the least and the greatest set are one has no pair in it.
     extent = found.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     postings = written(found.join(extent.select("h", "low"), "h"), "postings")
+    classes.destroy()
 
     # A round: pairs of nodes, fewer than all; the sets they need, by a bitmap of their nodes; and what links.
     def proved(pairs: DataFrame) -> DataFrame:
@@ -252,7 +253,9 @@ def link_sets(docs: DataFrame, text: str = "text", percent: int = PERCENT, shing
             return np.array([node], np.int64), [x.astype(">u8").tobytes()]
 
         sets = _over_sets(docs, "node long, items binary", collided, text, shingle, items).dropDuplicates(["node"])
-        return _verified(pairs, written(sets, "sets"), percent)
+        out = written(_verified(pairs, written(sets, "sets"), percent), "links")
+        wanted.destroy()
+        return out
 
     fits = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
     reach = F.expr(f"least(place, at) + least(n - place, m - at) >= ceil({percent} * (n + m) / {100 + percent})")
@@ -260,7 +263,7 @@ def link_sets(docs: DataFrame, text: str = "text", percent: int = PERCENT, shing
     heads = postings.where("node = low").select("h", F.col("n").alias("m"), F.col("place").alias("at"))
     stars = postings.where("node <> low").join(heads, "h").where(fits & reach).select(F.col("low").alias("p"), F.col("node").alias("q")).distinct()
     stars = written(stars, "stars")
-    edges = written(proved(stars), "links")
+    edges = proved(stars)
     labels = connected_components(edges, "p", "q")
 
     labelled = postings.join(labels, "node", "left").select("h", "node", "n", "place", F.coalesce("component", "node").alias("c"))
@@ -271,8 +274,7 @@ def link_sets(docs: DataFrame, text: str = "text", percent: int = PERCENT, shing
     rest = written(rest.join(stars.select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")), ["p", "q"], "left_anti"), "rest")
     if rest.isEmpty():
         return rows, labels
-    more = written(edges.unionByName(proved(rest)), "links")
-    return rows, connected_components(more, "p", "q")
+    return rows, connected_components(edges.unionByName(proved(rest)), "p", "q")
 
 
 def classes(docs: DataFrame, text: str = "text", percent: int = PERCENT, shingle: int = SHINGLE) -> DataFrame:
