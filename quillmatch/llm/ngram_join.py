@@ -4,10 +4,10 @@ A document's set are the hashes of its distinct runs of ``SHINGLE`` words, or of
 A-Z are lower-cased. Documents link when the sets' Jaccard similarity is at least ``PERCENT`` hundredths.
 
 Sets are put in one global order: rare shingles first. Two sets that link share a shingle among the first
-``size - ceil(t * size) + 1`` of each, so only these prefixes are compared. The order counts shingles over all documents:
-a third of all shingles (by hash) comes first, by classes of their number of documents, which bitmaps of bounded size tell
-in the second pass over the texts; the others come last. A shingle that no bitmap knows is in one document only. Equal sets
-have one name, and only one of them takes part.
+``size - ceil(t * size) + 1`` of each, so only these prefixes are compared. All shingles are counted over all documents; the
+order goes by classes of their number of documents, which bitmaps of bounded size tell in the second pass over the texts,
+and then by hash. A shingle that no bitmap knows is in one document only. Equal sets have one name, and only one of them
+takes part.
 
 Candidates are verified by a prefix-tree join: the ordered sets of the candidates of one probe come in lexicographic order,
 which is the depth-first order of their trie. What two neighbours share is walked once, with its overlap so far kept, and a
@@ -40,8 +40,6 @@ SHINGLE, PERCENT = 5, 75
 #: Classes of frequency: a shingle is in class ``k`` if it is in at least ``FREQUENCIES[k]`` different sets.
 FREQUENCIES = (2, 8, 64, 1024, 16384)
 _MIX_A, _MIX_B = U(0xA0761D6478BD642F), U(0xE7037ED1A0B428DB)
-#: Shingles whose hash is below this come first in the order: three in eight.
-_FIRST = U(3 << 61)
 
 
 def _sets(s: Slice, shingle: int = SHINGLE) -> list[np.ndarray]:
@@ -108,22 +106,16 @@ class _Prefixes:
     def of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = len(x)
         length = size - (-(-self.percent * size // 100)) + 1
-        first = x[x < _FIRST]
-        level = np.zeros(len(first), np.int64)
-        left = np.arange(len(first))
+        level = np.zeros(size, np.int64)
+        left = np.arange(size)
         for k, bitmap in enumerate(self.classes):
-            left = left[bitmap.has(first[left])]
+            left = left[bitmap.has(x[left])]
             if not len(left):
                 break
             level[left] = k + 1
-        order = np.lexsort((first, level))[:length]
-        keys, places = first[order], np.arange(len(order))
-        known = level[order] > 0
-        keys, places = keys[known], places[known]
-        if len(first) < length:
-            rest = x[len(first) :][: length - len(first)]  # x is sorted: the others, by hash
-            keys, places = np.concatenate([keys, rest]), np.concatenate([places, len(first) + np.arange(len(rest))])
-        return keys, places
+        order = np.argsort(level, kind="stable")[:length]  # x is sorted by hash
+        known = np.flatnonzero(level[order] > 0)
+        return x[order[known]], known
 
 
 def _node(name: tuple[int, int], collided: frozenset) -> int:
@@ -224,11 +216,11 @@ def link_sets(docs: DataFrame, text: str = "text", percent: int = PERCENT, shing
         raise RuntimeError("more sets with colliding names than 128 bits can explain")
     rows = rows.withColumn("node", F.when(F.col("n_shingles") > 0, F.when(F.col("a").isin(list(collided)), F.col("b")).otherwise(F.col("a")) if collided else F.col("a")))
 
-    # First pass: how many sets have each of the first shingles.
-    counted = _over_sets(docs, "h long", collided, text, shingle, lambda node, x: (signed(x[x < _FIRST]),))
+    # First pass: how many sets have each shingle.
+    counted = _over_sets(docs, "h long", collided, text, shingle, lambda node, x: (signed(x),))
     often = written(counted.groupBy("h").count().where("count >= 2"), "shingles")
     totals = often.agg(*[F.count(F.when(F.col("count") >= f, 1)) for f in FREQUENCIES]).first()
-    classes = spark.sparkContext.broadcast([bitmap_of(often.where(F.col("count") >= f), "h", n) for f, n in zip(FREQUENCIES, totals) if n])
+    classes = spark.sparkContext.broadcast([bitmap_of(often.where(F.col("count") >= f), "h", n, bits_a_key=8) for f, n in zip(FREQUENCIES, totals) if n])
 
     # Second pass: the prefixes of the sets that may have partners.
     def prefix(node, x):
