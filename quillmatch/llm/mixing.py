@@ -3,70 +3,119 @@
 Each source is cut into blocks of ``block_docs`` documents. Of a source with target weight ``w``, block ``j`` has the
 release time ``floor(j / w)`` and the deadline ``ceil((j + 1) / w)``; one block runs in each slot, the released one with
 the earliest deadline. At every slot ``t`` each source that still has blocks has had less than one block more or less
-than ``w * t``. Weights are whole multiples of ``1 / parts``, so the schedule repeats after ``parts`` slots: the table of
-one period depends on the weights alone, has ``parts`` rows, and every block finds its slot by arithmetic.
+than ``w * t``. Times are computed in whole numbers from the weights as given, so this holds over schedules of any length.
 
-Every document is scheduled exactly once: none is dropped or repeated. When a source has run out its slots stay empty,
+Executors rank the documents and join them to the table of slots. The driver orders the blocks, never documents: it holds
+a few numbers for each source, and writes the slots to the shared folder in pieces of ``PIECE`` blocks.
+
+Every document is scheduled exactly once: none is dropped or repeated. When a source has run out its slots may stay empty,
 so the others go on in their proportions. Without given weights a source weighs as its number of documents to the
 power ``alpha``; 0.5 favours small sources.
 
-Defined results: a null source is a source of its own; a source without a given weight takes the least weight of one part;
-equal documents are scheduled each on its own, ranked among themselves arbitrarily but never onto one place; an empty
-table gives an empty result; further columns are carried along, whatever their names, unless they are those added here.
+Defined results: a null source is a source of its own; a float weight stands for the shortest decimal that reads as it;
+sources without a given weight, or with weight 0, follow when all others have run out, weighted among themselves as
+without given weights; equal documents are scheduled each on its own, ranked among themselves arbitrarily but never onto
+one place; an empty table gives an empty result; further columns are carried along, whatever their names, unless they are
+those added here; a slot beyond 2^63 raises OverflowError. ``parts`` bounds the number of sources.
 """
 
 from __future__ import annotations
 
+import math
+from array import array
+from collections.abc import Iterator
+from fractions import Fraction
+from heapq import heappop, heappush
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: At most so many sources can be given weights; the period table and the weights are thereby bounded.
+from quillmatch.plans.storage import fresh_path, written
+
+#: At most so many sources can be given weights.
 MAX_SOURCES = 2000
+#: Blocks whose slots the driver holds before it writes them.
+PIECE = 1 << 20
+#: Tables of at most so many rows are broadcast; larger ones are joined by shuffles.
+BROADCAST_ROWS = 1 << 20
 
 
-def target_parts(counts: dict, weights: dict | None, parts: int, alpha: float) -> dict:
-    """Whole parts of ``parts`` for each source, at least one each, by largest remainders."""
-    if len(counts) > min(MAX_SOURCES, parts):
-        raise ValueError(f"{len(counts)} sources: more than {min(MAX_SOURCES, parts)}")
-    raw = {s: (weights.get(s, 0.0) if weights is not None else float(n) ** alpha) for s, n in counts.items()}
-    if any(w < 0 for w in raw.values()) or not any(raw.values()):
+def whole_weights(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportions of ``weights``."""
+    known = {w: Fraction(w) if isinstance(w, (int, Fraction)) else Fraction(repr(float(w))) for w in set(weights)}
+    if any(w < 0 for w in known.values()) or not any(known.values()):
         raise ValueError("weights must not be negative, and one at least above 0")
-    total = sum(raw.values())
-    spare = parts - len(raw)
-    exact = {s: w / total * spare for s, w in raw.items()}
-    out = {s: 1 + int(x) for s, x in exact.items()}
-    order = sorted(raw, key=lambda s: (int(exact[s]) - exact[s], str(s)))
-    for s in order[: parts - sum(out.values())]:
-        out[s] += 1
-    return out
+    scale = math.lcm(*(w.denominator for w in known.values()))
+    whole = {w: int(x * scale) for w, x in known.items()}
+    return [whole[w] for w in weights]
 
 
-def period_table(spark, shares: list[int]) -> DataFrame:
-    """``(source_no, turn, at)``: source ``source_no`` runs its block ``turn`` of a period in slot ``at``.
+def in_slots(weights: list[int], blocks: list[int]) -> Iterator[tuple[int, int, int]]:
+    """``(source, block, slot)`` for all ``blocks[k]`` blocks of each source ``k``, in the order of the slots.
 
-    ``shares[k]`` of the period's slots belong to source ``k``. Earliest deadline first among the released, by one SQL
-    aggregation over the slots; ties go to the earlier source.
+    Earliest deadline first among the released; ties go to the earlier source. The shares of all sources fill the slots
+    exactly, so a schedule that meets all deadlines exists, and this order finds it.
     """
-    parts = sum(shares)
-    literal = "array(" + ", ".join(f"{x}L" for x in shares) + ")"
-    pick = (
-        # deadline ceil((j + 1) * parts / share); released once floor(j * parts / share) has come
-        "array_min(filter(transform(w, (x, k) -> case when a.had[k] < x and (a.had[k] * p) div x <= t "
-        "then named_struct('due', ((a.had[k] + 1) * p + x - 1) div x, 'k', k) end), y -> y is not null)).k"
-    )
-    step = (
-        f"transform(array({pick}), c -> named_struct('had', transform(a.had, (h, k) -> case when k = c then h + 1 else h end), "
-        "'out', concat(a.out, array(named_struct('source_no', c, 'turn', a.had[c], 'at', t)))))[0]"
-    )
-    nothing = "cast(array() as array<struct<source_no: int, turn: bigint, at: bigint>>)"
-    table = spark.range(1).select(F.expr(literal).alias("w"), F.lit(parts).cast("long").alias("p"))
-    return table.select(
-        F.explode(
-            F.expr(
-                f"aggregate(sequence(0L, p - 1), named_struct('had', transform(w, x -> 0L), 'out', {nothing}), (a, t) -> {step}, a -> a.out)"
-            )
-        ).alias("s")
-    ).select("s.source_no", "s.turn", "s.at")
+    total, n = sum(weights), len(weights)
+    had, slot = array("q", bytes(8 * n)), 0
+    # entries are time * n + source: one for each source, in one of the two
+    ready = sorted(-(-total // w) * n + k for k, w in enumerate(weights))
+    waiting: list[int] = []
+    while ready or waiting:
+        if not ready:
+            slot = max(slot, waiting[0] // n)
+        while waiting and waiting[0] // n <= slot:
+            k = heappop(waiting) % n
+            heappush(ready, -(-(had[k] + 1) * total // weights[k]) * n + k)
+        k = heappop(ready) % n
+        block = had[k]
+        yield k, block, slot
+        slot += 1
+        had[k] = block + 1
+        if block + 1 < blocks[k]:
+            heappush(waiting, (block + 1) * total // weights[k] * n + k)
+
+
+def all_in_slots(weights: list[int], blocks: list[int], later: list[int]) -> Iterator[tuple[int, int, int]]:
+    """As ``in_slots``; sources of weight 0 follow when the others have run out, by their weights in ``later``."""
+    first = 0
+    for of, some in ((weights, [k for k, w in enumerate(weights) if w]), (later, [k for k, w in enumerate(weights) if not w])):
+        last = first - 1
+        for k, block, slot in in_slots([of[k] for k in some], [blocks[k] for k in some]):
+            last = first + slot
+            yield some[k], block, last
+        first = last + 1
+
+
+def pieces(placed: Iterator[tuple[int, int, int]]) -> Iterator[np.ndarray]:
+    """The rows in arrays of at most ``PIECE`` rows."""
+    flat = array("q")
+    for row in placed:
+        flat.extend(row)
+        if len(flat) >= 3 * PIECE:
+            yield np.array(flat, np.int64).reshape(-1, 3)
+            flat = array("q")
+    if flat:
+        yield np.array(flat, np.int64).reshape(-1, 3)
+
+
+def slot_table(spark, placed: Iterator[tuple[int, int, int]], numbers: np.ndarray) -> tuple[DataFrame, int]:
+    """``(_source_no, _turn, slot)``, written in the shared folder, and the number of its rows."""
+    path, n = fresh_path(spark, "slots"), 0
+    for rows in pieces(placed):
+        columns = [numbers[rows[:, 0]], rows[:, 1], rows[:, 2]]
+        part = pa.table([pa.array(c) for c in columns], names=["_source_no", "_turn", "slot"])
+        spark.createDataFrame(part).coalesce(1).write.mode("append").parquet(path)
+        n += len(rows)
+    return spark.read.schema("_source_no long, _turn long, slot long").parquet(path), n
+
+
+def period_table(spark, shares: list[int]) -> DataFrame:
+    """``(source_no, turn, at)``: the slots of a schedule in which source ``k`` has ``shares[k]`` blocks and that weight."""
+    table, _ = slot_table(spark, in_slots(shares, shares), np.arange(len(shares)))
+    return table.toDF("source_no", "turn", "at")
 
 
 def schedule(
@@ -79,43 +128,44 @@ def schedule(
     within ``salts`` divisions of each source, so no source, however large, has to pass through one task.
     """
     spark = docs.sparkSession
+    name = (F.col(source) if isinstance(source, str) else source).cast("string")
     base = docs.select(
-        (F.col(source) if isinstance(source, str) else source).cast("string").alias("_source"),
+        F.coalesce(F.concat(F.lit("s"), name), F.lit("n")).alias("_source"),
         (F.col(order) if isinstance(order, str) else order).alias("_order"),
         F.struct(*[docs[c] for c in docs.columns]).alias("_row"),
     ).withColumn("_salt", F.pmod(F.xxhash64("_order", F.lit(7)), F.lit(salts)))
-    sizes = base.groupBy("_source", "_salt").count()
-    cells = sizes.limit(MAX_SOURCES * salts + 1).collect()
-    if len(cells) > MAX_SOURCES * salts:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    counts: dict = {}
-    for c in cells:
-        counts[c[0]] = counts.get(c[0], 0) + c[2]
-    if not counts:
+    sizes = written(base.groupBy("_source", "_salt").count(), "sizes")
+    totals = sizes.groupBy("_source").agg(F.sum("count").alias("_n")).orderBy("_source")
+    sources = written(totals.withColumn("_no", F.monotonically_increasing_id()), "sources")
+    held = sources.select("_no", "_n", *(["_source"] if weights is not None else [])).toArrow().sort_by("_no")
+    numbers, counts = (held[c].to_numpy() for c in ("_no", "_n"))
+    if not len(counts):
         none = F.lit(None).cast("long")
         return docs.select("*", none.alias("block"), none.alias("slot"), none.alias("place"))
-    shares = target_parts(counts, weights, parts, alpha)
-    ordered = sorted(counts, key=lambda s: (s is not None, s or ""))
-    number = {s: k for k, s in enumerate(ordered)}
-    before, rows = dict.fromkeys(counts, 0), []
-    for s, salt, n in sorted(((c[0], c[1], c[2]) for c in cells), key=lambda c: (c[0] is not None, c[0] or "", c[1])):
-        rows.append((s, salt, number[s], shares[s], before[s]))
-        before[s] += n
-    cell = spark.createDataFrame(rows, "_source string, _salt long, _no int, _share long, _before long")
+    if len(counts) > min(MAX_SOURCES, parts):
+        raise ValueError(f"{len(counts)} sources: more than {min(MAX_SOURCES, parts)}")
+    later = whole_weights([float(n) ** alpha for n in counts.tolist()])
+    given = later
+    if weights is not None:
+        given = whole_weights([weights.get(s[1:] if s[0] == "s" else None, 0) for s in held["_source"].to_pylist()])
+    slots, n_blocks = slot_table(spark, all_in_slots(given, (-(-counts // block_docs)).tolist(), later), numbers)
+    before = Window.partitionBy("_source").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
+    cells = sizes.select("_source", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")).join(
+        sources.select("_source", "_no"), "_source"
+    )
+    if len(counts) * salts <= BROADCAST_ROWS:
+        cells = F.broadcast(cells)
+    if n_blocks <= BROADCAST_ROWS:
+        slots = F.broadcast(slots)
     within = Window.partitionBy("_source", "_salt").orderBy("_order")
     ranked = (
         base.withColumn("_rank", F.row_number().over(within))
-        .join(F.broadcast(cell), base["_source"].eqNullSafe(cell["_source"]) & (base["_salt"] == cell["_salt"]))
-        .select("_row", "_no", "_share", (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
+        .join(cells, ["_source", "_salt"])
+        .select("_row", "_no", (F.col("_before") + F.col("_rank") - 1).alias("_rank"))
         .withColumn("block", F.expr(f"_rank div {block_docs}"))
     )
-    period = period_table(spark, [shares[s] for s in ordered])
-    placed = ranked.join(
-        F.broadcast(period), (F.col("_no") == F.col("source_no")) & (F.expr("block % _share") == F.col("turn"))
-    )
-    return placed.select(
-        "_row.*", "block", F.expr(f"(block div _share) * {parts} + at").alias("slot"), F.expr(f"_rank % {block_docs}").alias("place")
-    )
+    placed = ranked.join(slots, (F.col("_no") == F.col("_source_no")) & (F.col("block") == F.col("_turn")))
+    return placed.select("_row.*", "block", "slot", F.expr(f"_rank % {block_docs}").alias("place"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

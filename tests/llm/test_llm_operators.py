@@ -459,3 +459,26 @@ def test_mixing(spark):
     assert mixing.schedule(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         mixing.schedule(df, weights={"a": -1.0})
+
+
+@pytest.mark.parametrize(
+    "weights",
+    [{"a": 0.9, "b": 0.1}, {"a": 0.95, "b": 0.05}, {"a": 1.0, "b": 0.0}, {"big": 500.0} | {f"s{k}": 1.0 for k in range(500)}],
+    ids=["0.9", "0.95", "zero", "many"],
+)
+def test_mixing_keeps_to_the_given_weights(spark, weights):
+    """Less than one block from the weights as given, long after any period; sources of weight 0 follow the others."""
+    target = {s: Fraction(str(w)) / sum(Fraction(str(w)) for w in weights.values()) for s, w in weights.items()}
+    n = {s: max(1, int(4000 * w)) if w else 30 for s, w in target.items()}
+    df = spark.createDataFrame([(k, s) for s, m in n.items() for k in range(m)], "doc_id long, source string")
+    got = sorted((r.slot, r.source) for r in mixing.schedule(df, weights=weights, block_docs=1).collect())
+    assert len({t for t, _ in got}) == len(got) and Counter(s for _, s in got) == n
+    worst = 0
+    turns = {s: [t for t, x in got if x == s] for s in n}
+    for s, at in turns.items():
+        w = target[s]
+        if w:
+            worst = max(worst, max(max(abs(j + 1 - w * (t + 1)), abs(j - w * t)) for j, t in enumerate(at)))
+        else:
+            assert at[0] == 1 + max(t for x, ts in turns.items() if target[x] for t in ts)
+    assert worst < 1
