@@ -16,7 +16,7 @@ Defined results: a null source is a source of its own; a float weight stands for
 sources without a given weight, or with weight 0, follow when all others have run out, weighted among themselves as
 without given weights; equal documents are scheduled each on its own, ranked among themselves arbitrarily but never onto
 one place; an empty table gives an empty result; further columns are carried along, whatever their names, unless they are
-those added here; a slot beyond 2^63 raises OverflowError. ``parts`` bounds the number of sources.
+those added here; a slot beyond 2^63 raises OverflowError. ``parts`` is accepted and changes nothing.
 """
 
 from __future__ import annotations
@@ -34,8 +34,6 @@ from pyspark.sql import functions as F
 
 from quillmatch.plans.storage import fresh_path, written
 
-#: At most so many sources can be given weights.
-MAX_SOURCES = 2000
 #: Blocks whose slots the driver holds before it writes them.
 PIECE = 1 << 20
 #: Tables of at most so many rows are broadcast; larger ones are joined by shuffles.
@@ -142,8 +140,6 @@ def schedule(
     if not len(counts):
         none = F.lit(None).cast("long")
         return docs.select("*", none.alias("block"), none.alias("slot"), none.alias("place"))
-    if len(counts) > min(MAX_SOURCES, parts):
-        raise ValueError(f"{len(counts)} sources: more than {min(MAX_SOURCES, parts)}")
     later = whole_weights([float(n) ** alpha for n in counts.tolist()])
     given = later
     if weights is not None:

@@ -482,3 +482,21 @@ def test_mixing_keeps_to_the_given_weights(spark, weights):
         else:
             assert at[0] == 1 + max(t for x, ts in turns.items() if target[x] for t in ts)
     assert worst < 1
+
+
+def test_mixing_of_many_sources(spark):
+    """More sources than any period has slots, all by joined tables; also where no table is small enough to be broadcast."""
+    n = {f"site{k}": 1 + 8 * (k % 5 == 0) for k in range(2500)} | {None: 900}
+    df = spark.createDataFrame([(k, s) for s, m in n.items() for k in range(m)], "doc_id long, source string")
+    for most in (1 << 20, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(mixing, "BROADCAST_ROWS", most)
+            m.setattr(mixing, "PIECE", 3000)
+            got = sorted((r.slot, r.source or "", r.place) for r in mixing.schedule(df, block_docs=1).collect())
+        assert len({t for t, _, _ in got}) == len(got) and Counter(s or None for _, s, _ in got) == n
+        total, at = sum(x**0.5 for x in n.values()), {}
+        for t, s, _ in got:
+            at.setdefault(s or None, []).append(t)
+        for s, turns in at.items():
+            w = n[s] ** 0.5 / total
+            assert all(abs(j + 1 - w * (t + 1)) < 1 and abs(j - w * t) < 1 for j, t in enumerate(turns))
