@@ -6,9 +6,9 @@ array per order, with a column per language, so one binary search serves all lan
 cross-entropy per character is chosen. ``score`` is a logistic calibration of its lead over the second; ``rejected`` marks
 texts whose cross-entropy is above what nearly all training texts of that language have, or whose score is below a half.
 
-Counts cover every training row and are aggregated by Spark. If there are more than ``max_grams`` distinct (language,
-n-gram) rows, the rarest counts are left out of the models; this bounds what the driver collects and broadcasts. The
-calibration is fitted on about ``sample_docs`` training texts.
+Counts cover every training row. Spark aggregates them and those of the lower orders; the driver takes them all, as hashes
+and numbers and in pieces of about ``PIECE`` rows, makes the tables and broadcasts them. So the models grow with the
+distinct n-grams of the training rows; ``max_grams`` is accepted and changes nothing. The calibration is fitted on about ``sample_docs`` training texts.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is; null
 ids count as held out and are not learned from; repeated rows are predicted each on its own (and count each as training);
@@ -22,6 +22,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,8 @@ from .linear import ridge, sigmoid
 
 ORDER = 5
 START, END = "\x02", "\x03"
+#: Rows of the models' tables that the driver takes at once.
+PIECE = 4_000_000
 
 
 def held_out_row(modulus: int, remainder: int, key: str = "doc_id") -> Column:
@@ -93,6 +96,59 @@ def _hash(codes: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
+def discounts(once, twice):
+    """The absolute discount of an order, from its numbers of n-grams counted once and twice."""
+    return np.clip(np.where(once + twice > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.95)
+
+
+def all_orders(grams: DataFrame) -> DataFrame:
+    """``(k, lang, gram, n)``: the counts of the longest n-grams, and of each shorter one how many characters it follows."""
+    ends = F.explode(
+        F.array(*[
+            F.struct(F.lit(k).alias("k"), F.substring("gram", ORDER - k + 1, k).alias("gram"), F.substring("gram", ORDER - k, 1).alias("_before"))
+            for k in range(1, ORDER)
+        ])
+    )
+    shorter = grams.select("lang", ends.alias("e")).select("e.k", "lang", "e.gram", "e._before").distinct()
+    shorter = shorter.groupBy("k", "lang", "gram").agg(F.count("*").alias("n"))
+    return grams.select(F.lit(ORDER).alias("k"), "lang", "gram", "n").unionByName(shorter)
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """``(k, lang, key, context, n)`` of ``(k, lang, gram, n)``: the hashes of the n-gram and of all but its last character."""
+
+    def run(batches):
+        for batch in batches:
+            k = batch.column(0).to_numpy()
+            grams = np.array(batch.column(2).to_pylist(), dtype=object)
+            keys, contexts = np.empty(len(k), U), np.empty(len(k), U)
+            for own in np.unique(k).tolist():
+                at = k == own
+                keys[at], contexts[at] = Models._of(grams[at], own, own), Models._of(grams[at], own, own - 1)
+            made = [pa.array(x.view(np.int64)) for x in (keys, contexts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, batch.column(3)], names=["k", "lang", "key", "context", "n"])
+
+    return rows.select("k", "lang", "gram", "n").mapInArrow(run, "k int, lang string, key long, context long, n long")
+
+
+def _weighed(lang: np.ndarray, n: np.ndarray, ctx: np.ndarray, discount: np.ndarray):
+    """Each row's discounted share of its context, the contexts in order, and their back-off weights by language."""
+    ckeys, crow = np.unique(ctx, return_inverse=True)
+    total, kinds = np.zeros((len(ckeys), len(discount))), np.zeros((len(ckeys), len(discount)))
+    np.add.at(total, (crow, lang), n)
+    np.add.at(kinds, (crow, lang), 1)
+    share = (np.maximum(n - discount[lang], 0) / total[crow, lang]).astype(np.float32)
+    return share, ckeys, np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0).astype(np.float32)
+
+
+def _by_key(hashes: np.ndarray, lang: np.ndarray, share: np.ndarray, n_lang: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes in order, and their shares by language."""
+    keys, row = np.unique(hashes, return_inverse=True)
+    values = np.zeros((len(keys), n_lang), np.float32)
+    values[row, lang] = share
+    return keys, values
+
+
 class Models:
     """The tables of all languages: discounted shares of n-grams and back-off weights of contexts, by sorted hashes."""
 
@@ -114,20 +170,41 @@ class Models:
             hashes = self._of(t["gram"], k, k)
             ctx = self._of(t["gram"], k, k - 1)
             n = t["n"].to_numpy(np.float64)
-            keys, row = np.unique(hashes, return_inverse=True)
-            ckeys, crow = np.unique(ctx, return_inverse=True)
-            total, kinds = np.zeros((len(ckeys), n_lang)), np.zeros((len(ckeys), n_lang))
-            np.add.at(total, (crow, lang), n)
-            np.add.at(kinds, (crow, lang), 1)
-            once = np.bincount(lang[n == 1], minlength=n_lang)
-            twice = np.bincount(lang[n == 2], minlength=n_lang)
-            discount = np.clip(np.where(once + twice > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.95)
-            share = np.zeros((len(keys), n_lang), np.float32)
-            share[row, lang] = np.maximum(n - discount[lang], 0) / total[crow, lang]
-            back = np.where(total > 0, discount * kinds / np.maximum(total, 1), 1.0).astype(np.float32)
-            self.grams.append((keys, share))
+            discount = discounts(np.bincount(lang[n == 1], minlength=n_lang), np.bincount(lang[n == 2], minlength=n_lang))
+            share, ckeys, back = _weighed(lang, n, ctx, discount)
+            self.grams.append(_by_key(hashes, lang, share, n_lang))
             self.contexts.append((ckeys, back))
 
+    @classmethod
+    def learned(cls, grams: DataFrame) -> Models | None:
+        """The same tables from all of Spark's ``grams(lang, gram, n)``; none if there are no rows."""
+        rows = written(_hashed(all_orders(grams)), "orders")
+        ones = {(r[0], r[1]): r[2:] for r in rows.groupBy("k", "lang").agg(F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2), F.count("*")).collect()}
+        if not ones:
+            return None
+        out = cls.__new__(cls)
+        out.langs, out.grams, out.contexts = sorted({lang for _, lang in ones}), [], []
+        n_lang = len(out.langs)
+        for k in range(1, ORDER + 1):
+            own = [ones[k, lang] for lang in out.langs]
+            discount = discounts(np.array([x[0] for x in own]), np.array([x[1] for x in own]))
+            pieces = -(-sum(x[2] for x in own) // PIECE)
+            made = []
+            for piece in range(pieces):
+                # ranges of the context's hash as an unsigned number: no context is in two, and they follow one another
+                part = F.expr(f"(shiftrightunsigned(context, 32) * {pieces}) >> 32") == piece
+                t = rows.where((F.col("k") == k) & part).select("key", "context", "n", "lang").toArrow()
+                lang = pc.index_in(t["lang"], pa.array(out.langs)).to_numpy()
+                hashes, ctx = (t[c].to_numpy().view(U) for c in ("key", "context"))
+                share, ckeys, back = _weighed(lang, t["n"].to_numpy().astype(np.float64), ctx, discount)
+                made.append((hashes, lang, share, ckeys, back))
+            hashes, lang, share, ckeys, back = (np.concatenate(x) for x in zip(*made))
+            out.grams.append(_by_key(hashes, lang, share, n_lang))
+            out.contexts.append((ckeys, back))
+        # every character ends some n-gram, but for START
+        out.uniform = 1.0 / (len(out.grams[0][0]) + 2)
+        return out
+
     @staticmethod
     def _of(grams: pd.Series, k: int, width: int) -> np.ndarray:
         codes = np.frombuffer("".join(grams).encode("utf-32-le"), "<u4").astype(U)
@@ -229,15 +306,10 @@ def fit(train: DataFrame, max_grams: int = 2_000_000, sample_docs: int = 4000) -
     """The identifier learned from ``train(lang, text)``; rows with a null in either are left out."""
     rows = train.select("lang", "text").where("lang is not null and text is not null")
     grams = written(count_grams(rows), "grams")
-    sizes = {r[0]: r[1] for r in grams.groupBy(F.least("n", F.lit(1000))).count().collect()}
-    least, total = 1, sum(sizes.values())
-    while total > max_grams and least < 1000:
-        total -= sizes.get(least, 0)
-        least += 1
-    table = grams.where(F.col("n") >= least).orderBy("lang", "gram").limit(max_grams).toPandas() if total > max_grams else grams.where(F.col("n") >= least).toPandas()
-    if not len(table):
+    models = Models.learned(grams)
+    if models is None:
         return Identifier(None)
-    out = Identifier(Models(table))
+    out = Identifier(models)
     n = rows.count()
     every = max(1, n // sample_docs)
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(every)) == 0)

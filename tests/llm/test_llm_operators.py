@@ -205,6 +205,21 @@ def test_language_models(spark):
     assert {r.lang_pred for r in language_id.identify(docs, nothing).collect()} == {"und"}
 
 
+def test_language_models_have_all_counts(spark, monkeypatch):
+    """Spark's tables are those of all n-grams, whatever their number; none is left out before discounts are taken."""
+    draw = random.Random(4)
+    rows = [(f"l{k % 3}", " ".join("".join(draw.choice("abcdeéß字") for _ in range(draw.randint(1, 7))) for _ in range(8))) for k in range(90)]
+    rows += [("rare", "zq qz"), (None, "a"), ("l1", None), ("l1", "...")]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    counts = language_id.count_grams(train.where("lang is not null and text is not null")).toPandas()
+    want = language_id.Models(counts)
+    monkeypatch.setattr(language_id, "PIECE", 300, raising=False)
+    got = language_id.fit(train, max_grams=50).models
+    assert got.langs == want.langs and got.uniform == want.uniform
+    for a, b in zip([*got.grams, *got.contexts], [*want.grams, *want.contexts]):
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
 def test_kneser_ney_sums_to_one():
     import pandas as pd
 
