@@ -45,11 +45,9 @@ def op8_substrings(spark, sf_dir):
 
 
 def op4_simhash(spark, sf_dir):
-    """Besides the fingerprints: of each document whose id 50 divides, how many have fingerprints within three bits."""
+    """Besides the fingerprints: of each document whose id 50 divides, how many others are near copies by their fingerprints."""
     prints = written(simhash.edited(_docs(spark, sf_dir)), "fingerprints")
-    sizes = prints.groupBy("fingerprint").count()
-    found = simhash.near(prints.where("doc_id % 50 = 0"), prints).join(sizes, "fingerprint")
-    found = found.groupBy(F.col("query").alias("fingerprint")).agg(F.sum("count").alias("_n"))
+    found = simhash.near_counts(prints.where("doc_id % 50 = 0"), prints).toDF("fingerprint", "_n")
     return prints.join(found, "fingerprint", "left").select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
         F.when(F.col("doc_id") % 50 == 0, F.col("_n") - 1).alias("n_near"),

@@ -4,8 +4,11 @@ Terms are the runs of three words of a text (all of its words, if fewer); a term
 bytes. Each bit of a fingerprint is the sign of the weights' sum, counted with the sign of that bit in the term's hash.
 Sums are of whole numbers, so equal texts have equal fingerprints on every machine. Likeness is the share of equal bits.
 
-``near`` finds all fingerprints within a Hamming radius: of ``radius + 2`` blocks of bits at least two are equal, so one of
-the permuted tables, each keyed by a pair of blocks, holds the partner. Equal fingerprints are searched once.
+``near`` finds all fingerprints within a Hamming radius. Up to ``TABLES_RADIUS``, of ``radius + 2`` blocks of bits at least
+two are equal, so one of the permuted tables, each keyed by a pair of blocks, holds the partner. Beyond, as for ``RADIUS``,
+which texts of shingle Jaccard ``SIMILARITY`` are apart on average, of ``PARTS`` blocks at least one differs in no more
+than ``radius // PARTS`` bits: slabs of queries meet slabs of fingerprints, and each looks up the few keys that near. Equal
+fingerprints are searched once. ``near_counts`` only counts, so a large group of near copies makes no pairs.
 
 Defined results: null and empty texts, and those of separators only, have the fingerprint of zeros; repeated rows have
 equal fingerprints; an empty table gives an empty result. In ``edited`` null ids come before all others, rows of one id in
@@ -15,6 +18,7 @@ are left out unless asked for with ``keep``.
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -27,6 +31,12 @@ from .kernel import Slice, run_hashes, slices
 BITS = 128
 TERM_WORDS = 3
 _BLOCK = 1 << 13
+#: The shingle Jaccard from which texts are near copies, and the bits that sets so alike, of cosine 2J / (1 + J), are apart.
+SIMILARITY = 0.75
+RADIUS = round(BITS * math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi)
+TABLES_RADIUS, PARTS, PART_BITS = 4, 8, 16
+#: Queries, and fingerprints, of a slab at most (on average); candidates that are compared at once.
+SLAB_QUERIES, SLAB_PRINTS, CANDIDATES = 1 << 15, 1 << 17, 1 << 20
 
 
 def fingerprints_of(s: Slice) -> list[str]:
@@ -124,11 +134,97 @@ def edited(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def near(queries: DataFrame, prints: DataFrame, radius: int = 3) -> DataFrame:
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+def within(queries: np.ndarray, prints: np.ndarray, radius: int):
+    """Yield ``(q, p, distance)``: each pair of rows of two ``[n, PARTS]`` arrays of 16-bit parts within ``radius``, once."""
+    flips = radius // PARTS
+    masks = np.array([sum(1 << b for b in bits) for n in range(flips + 1) for bits in combinations(range(PART_BITS), n)], np.int64)
+    for part in range(PARTS):
+        own = prints[:, part].astype(np.int64)
+        order = np.argsort(own, kind="stable")
+        edges = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=1 << PART_BITS))])
+        step = max(1, CANDIDATES // len(masks))
+        for k in range(0, len(queries), step):
+            keys = queries[k : k + step, part].astype(np.int64)[:, None] ^ masks
+            first, size = edges[keys], edges[keys + 1] - edges[keys]
+            found = np.flatnonzero(size)
+            first, size, asks = first.ravel()[found], size.ravel()[found], k + found // len(masks)
+            done = np.cumsum(size)
+            at = 0
+            while at < len(size):
+                end = max(at + 1, int(np.searchsorted(done, (done[at - 1] if at else 0) + CANDIDATES, side="right")))
+                n = size[at:end]
+                q = np.repeat(asks[at:end], n)
+                p = order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - first[at:end], n)]
+                apart = _differing(queries[q].view(np.uint64), prints[p].view(np.uint64)).sum(axis=1)
+                near = apart <= radius
+                q, p, apart = q[near], p[near], apart[near]
+                # a pair belongs to the first part that finds it
+                new = (_differing(queries[q][:, :part], prints[p][:, :part]) > flips).all(axis=1)
+                yield q[new], p[new], apart[new]
+                at = end
+
+
+def _parts(fingerprints: pa.ChunkedArray) -> np.ndarray:
+    raw = bytes.fromhex("".join(fingerprints.to_pylist()))
+    return np.ascontiguousarray(np.frombuffer(raw, ">u2").reshape(-1, PARTS).astype(np.uint16))
+
+
+def _met(queries: DataFrame, prints: DataFrame, made, schema: str) -> DataFrame:
+    """``made(queries, prints)`` for each slab of distinct queries and each of distinct fingerprints, as Arrow tables."""
+    asked = queries.select("fingerprint").where("fingerprint is not null").distinct()
+    n_asked, n = asked.count(), prints.count()
+    rows, columns = -(-n_asked // SLAB_QUERIES) or 1, -(-n // min(max(n // 16, 1 << 11), SLAB_PRINTS)) or 1
+
+    def slab(of: int, seed: int):
+        return F.pmod(F.xxhash64("fingerprint", F.lit(seed)), F.lit(of)).cast("int")
+
+    def every(of: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(of - 1)))
+
+    left = asked.select("fingerprint", slab(rows, 5).alias("_row"), every(columns).alias("_column"))
+    right = prints.select(*prints.columns, slab(columns, 6).alias("_column"), every(rows).alias("_row"))
+    return left.groupBy("_row", "_column").cogroup(right.groupBy("_row", "_column")).applyInArrow(made, schema)
+
+
+def near_counts(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(query, n)``: how many rows of ``prints`` are within ``radius`` bits of each distinct query that has any.
+
+    Both inputs have a column ``fingerprint``; nulls match nothing.
+    """
+    sizes = prints.where("fingerprint is not null").groupBy("fingerprint").count()
+
+    def made(asked: pa.Table, held: pa.Table) -> pa.Table:
+        n = np.zeros(len(asked), np.int64)
+        if len(asked) and len(held):
+            weight = held["count"].to_numpy()
+            for q, p, _ in within(_parts(asked["fingerprint"]), _parts(held["fingerprint"]), radius):
+                np.add.at(n, q, weight[p])
+        kept = np.flatnonzero(n)
+        return pa.table({"query": asked["fingerprint"].take(kept), "n": n[kept]})
+
+    return _met(queries, sizes, made, "query string, n long").groupBy("query").agg(F.sum("n").alias("n"))
+
+
+def near(queries: DataFrame, prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``(query, fingerprint, distance)`` for all distinct fingerprints within ``radius`` bits of a distinct query.
 
     Both inputs have a column ``fingerprint``; nulls match nothing.
     """
+    if radius > TABLES_RADIUS:
+
+        def made(asked: pa.Table, held: pa.Table) -> pa.Table:
+            found = [np.zeros((3, 0), np.int64)]
+            if len(asked) and len(held):
+                found += [np.stack(x) for x in within(_parts(asked["fingerprint"]), _parts(held["fingerprint"]), radius)]
+            q, p, apart = np.concatenate(found, axis=1)
+            return pa.table({"query": asked["fingerprint"].take(q), "fingerprint": held["fingerprint"].take(p), "distance": apart.astype(np.int32)})
+
+        distinct = prints.select("fingerprint").where("fingerprint is not null").distinct()
+        return _met(queries, distinct, made, "query string, fingerprint string, distance int")
     digits, blocks = BITS // 4, radius + 2
     cuts = [digits * k // blocks for k in range(blocks + 1)]
 

@@ -330,6 +330,30 @@ def test_search_by_permuted_blocks(spark):
         assert got == {(a, b): (a ^ b).bit_count() for a in prints for b in prints if (a ^ b).bit_count() <= radius}
 
 
+def test_search_finds_near_copies(spark):
+    """All pairs and counts within the default radius, as by brute force, and most texts with some words replaced."""
+    draw = random.Random(6)
+    base = [[draw.choice(["alpha", "be", "gamma", "delta", "of", "zeta"]) + str(draw.randrange(400)) for _ in range(150)] for _ in range(40)]
+    copies = [[w if draw.random() > 0.02 else "other" for w in b] for b in base]
+    rows = [(k, " ".join(b)) for k, b in enumerate([*base, *copies, *base[:5]])]
+    prints = simhash.fingerprint(table(spark, rows), {"text": "fingerprint"}).cache()
+    ints = {r.doc_id: int(r.fingerprint, 16) for r in prints.collect()}
+    want = {(a, b): (a ^ b).bit_count() for a in set(ints.values()) for b in set(ints.values()) if (a ^ b).bit_count() <= simhash.RADIUS}
+    rows = simhash.near(prints, prints).collect()
+    assert len(rows) == len(want) and {(int(r.query, 16), int(r.fingerprint, 16)): r.distance for r in rows} == want
+    assert sum((ints[k], ints[40 + k]) in want for k in range(40)) >= 38
+    got = {int(r.query, 16): r.n for r in simhash.near_counts(prints, prints).collect()}
+    assert got == {a: sum((a ^ b).bit_count() <= simhash.RADIUS for b in ints.values()) for a in set(ints.values())}
+    draw = random.Random(7)
+    some = [draw.getrandbits(128) for _ in range(30)]
+    some += [p ^ sum(1 << b for b in draw.sample(range(128), draw.randint(0, 34))) for p in some * 4]
+    df = spark.createDataFrame([(f"{p:032x}",) for p in some] + [(None,)], "fingerprint string")
+    for radius in (7, 22, 30):
+        rows = simhash.near(df, df, radius).collect()
+        want = {(a, b): (a ^ b).bit_count() for a in some for b in some if (a ^ b).bit_count() <= radius}
+        assert len(rows) == len(want) and {(int(r.query, 16), int(r.fingerprint, 16)): r.distance for r in rows} == want
+
+
 # --- op7, op9 --------------------------------------------------------------------------------------------------------
 
 
