@@ -2,11 +2,13 @@
 
 Tables go below the folder that the session names in ``spark.checkpoint.dir``, which every executor of a
 cluster can reach, so that a lost executor costs a re-read and not a re-computation. Where the session names
-none (tests, notebooks on one machine) a folder of the application's own is taken.
+none and runs in one process (tests, notebooks) a folder of the application's own is taken; on a cluster
+without that setting the library refuses, since executors would not see each other's files.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session, without a trailing slash."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (named or f"/tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
 
 
@@ -29,3 +33,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Written tables that go when the work that needs them is done: ``with Scratch(spark) as tmp: tmp.written(...)``.
+
+    Whatever is to be read after the block must be written outside of it.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_path(self.spark, name)
+        self.paths.append(path)
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        jvm = self.spark.sparkContext._jvm
+        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for path in self.paths:
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
