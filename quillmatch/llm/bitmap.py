@@ -79,6 +79,6 @@ def bitmap_of(keys: DataFrame, column: str, count: int, bits_a_key: int = 16, ma
 
     # Few finished blocks come to the driver, not a row for each word.
     words = np.zeros(max(bits >> 6, BLOCK_WORDS), U)
-    for r in rows.repartition(min(n, 64), "block").mapInArrow(packed, "block long, words binary").toLocalIterator():
+    for r in rows.repartition(min(n, 64), "block").mapInArrow(packed, "block long, words binary").collect():
         words[r["block"] * BLOCK_WORDS :][:BLOCK_WORDS] = np.frombuffer(r["words"], U)
     return Bitmap(words[: bits >> 6])

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 
 SEPARATORS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 _IS_SEP = np.zeros(256, bool)
 _IS_SEP[list(SEPARATORS)] = True
 _LOWER = np.arange(256, dtype=np.uint8)

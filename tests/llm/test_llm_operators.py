@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmatch.llm import bitmap, bpe, kernel, language_id, mixing, ngram_join, quality_model, quality_rules, simhash, substrings, token_files, toxicity
+from quillmatch.llm import bitmap, bpe, frequency, kernel, language_id, mixing, ngram_join, quality_model, quality_rules, simhash, substrings, token_files, toxicity, trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Names that operators use inside.
@@ -296,6 +296,70 @@ def test_ngram_join_of_odd_tables(spark):
     assert sorted(r.doc_id for r in left.collect()) == [5, 7] and set(EXTRA) <= set(left.columns)
 
 
+def test_one_of_each_judges_rows_by_their_own_text(spark):
+    """One id on two texts, null ids, repeated rows and an empty table: nothing is lost that has no double."""
+    copied, alone = "b1 b2 b3 b4 b5 b6 b7 b8", "u1 u2 u3 u4 u5 u6 u7 u8"
+    rows = [(2, copied), (5, alone), (5, copied), (None, copied), (None, "v1 v2"), (8, ""), (8, None), (9, alone), (9, alone), (4, "w w w w w w"), (4, "w w w w w w")]
+    left = [tuple(r) for r in ngram_join.one_of_each(table(spark, rows)).select("doc_id", "text").collect()]
+    assert sorted(left, key=str) == sorted([(2, copied), (5, alone), (None, copied), (None, "v1 v2"), (8, ""), (8, None), (4, "w w w w w w"), (4, "w w w w w w")], key=str)
+    assert ngram_join.one_of_each(table(spark, [])).count() == 0
+    assert ngram_join.one_of_each(table(spark, [(None, None), (None, "")])).count() == 2
+
+
+@pytest.mark.parametrize("block", [1500, 7])
+def test_ngram_join_of_many_texts_just_below_the_threshold(spark, monkeypatch, block):
+    """A shingle that very many different components share: its sub-trie is walked, also in blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    draw, base, rows = random.Random(1), [f"w{k}" for k in range(60)], []
+    for k in range(220):
+        w = base[:]
+        for _ in range(draw.randint(0, 6)):
+            w[draw.randrange(60)] = f"x{draw.randrange(40)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows) and len({c for _, c in got.values()}) > 100
+
+
+def test_trie_counts_overlaps():
+    draw = np.random.default_rng(3)
+    for _ in range(30):
+        sets = [np.sort(draw.choice(40, draw.integers(0, 25), replace=False)).astype(np.uint64) for _ in range(draw.integers(1, 40))]
+        sets.sort(key=lambda x: x.tolist())
+        sizes = np.array([len(x) + int(draw.integers(0, 4)) for x in sets])
+        made = trie.Trie(sets, sizes)
+        for probe in sets[:8]:
+            size = len(probe) + int(draw.integers(0, 4))
+            for percent in (20, 75):
+                want = []
+                for k, x in enumerate(sets):
+                    both = len(np.intersect1d(x, probe))
+                    if 100 * both >= percent * (size + sizes[k] - both):
+                        want.append(k)
+                assert made.linked(made.places(probe), size, percent).tolist() == want
+    assert trie.Trie([], np.zeros(0, int)).linked(np.zeros(0, int), 3, 75).tolist() == []
+
+
+@pytest.mark.parametrize("size", [0, 1, 5000])
+def test_frequency_classes(size):
+    """Runs are unpacked as they were, and no class is too low."""
+    draw = np.random.default_rng(size)
+    pool = draw.integers(0, 2**64, max(1, size // 6), dtype=np.uint64)
+    hashes = draw.choice(pool, size) if size else np.zeros(0, np.uint64)
+    hashes = np.concatenate([hashes, np.repeat(pool[:1], 3 * size)])
+    by_bucket: dict = {}
+    for part in np.array_split(hashes, 3):
+        for bucket, run in zip(*frequency.runs(part, 6)):
+            by_bucket.setdefault(bucket, []).append(frequency.unpacked(bucket, run, 6))
+    assert sorted(np.concatenate([x for v in by_bucket.values() for x in v] or [hashes])) == sorted(hashes >> np.uint64(16))
+    levels = frequency.Levels({k: frequency.segments(np.concatenate(v), 6) for k, v in by_bucket.items()}, 6)
+    values, counts = np.unique(hashes, return_counts=True)
+    want = np.searchsorted(frequency.FREQUENCIES, counts, side="right")
+    got = levels.of(values)
+    assert (got >= want).all() and (got == want).mean() > 0.98 if len(values) else not len(got)
+    others = draw.integers(0, 2**64, 2000, dtype=np.uint64)
+    assert (levels.of(others) > 0).mean() < 0.02
+
+
 # --- op4 -------------------------------------------------------------------------------------------------------------
 
 
