@@ -157,17 +157,29 @@ class ChunkEncoder:
         bounds = [0, *places.tolist(), len(data)]
         if sure.all():
             return b"".join([self._chunk(data[a:b]) for a, b in zip(bounds, bounds[1:])])
-        out, have = [], None  # have: text and ids since the last sure cut, or since a token end near the last repair
+        out, have, run = [], None, None  # have: text and ids since the last sure cut, or since a token end near the last repair
         for a, b, ok in zip(bounds, bounds[1:], [True, *sure.tolist()]):
+            if run is not None:
+                # A token that spans whole chunks is carried on, and encoded once when a chunk has token ends of its own.
+                if not ok:
+                    run.append(data[a:b].decode())
+                    if sum(1 for _ in zip(self.pattern.finditer(run[-1]), range(4))) < 4:
+                        continue
+                text = "".join(run)
+                have, run = (text, self.vocab.encode_plain(text).tobytes()), None
+                if not ok:
+                    continue
             chunk, ids = data[a:b], self._chunk(data[a:b])
             if ok:
                 if have is not None:
                     out.append(have[1])
                 have = (chunk.decode(), ids)
+            elif sum(1 for _ in zip(self.pattern.finditer(have[0]), range(3))) < 3:
+                run = [have[0], chunk.decode()]
             else:
                 done, have = self._repaired(*have, chunk.decode(), ids)
                 out.append(done)
-        out.append(have[1])
+        out.append(have[1] if run is None else self.vocab.encode_plain("".join(run)).tobytes())
         return b"".join(out)
 
     def _chunk(self, chunk: bytes) -> bytes:
