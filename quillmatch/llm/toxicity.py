@@ -9,12 +9,13 @@ Each hit has the log ratio of its term's rates in toxic and other texts. Of a te
 quoted hits, their sum per word and the densest window of ``CONTEXT`` words enter a logistic model, which also learns how
 far a quotation excuses: a hit between quotation marks, or close behind a word of saying, counts as quoted.
 
-Lexicon and model are fitted on at most about ``SAMPLE`` labelled rows; the lexicon has at most ``TERMS`` terms.
+Lexicon and model are fitted on at most about ``SAMPLE`` labelled rows; every term of theirs that passes the test is in the
+lexicon, whatever their number.
 
 Defined results: null and empty texts are scored as texts without hits; null ids count as held out; rows without a label
 are scored but not learned from; repeated rows are scored each on its own; without labelled rows of both kinds there is no
 lexicon and the score is the share of ones, 0.0 if there are none; an empty table gives an empty result; further columns
-are left out unless asked for with ``keep``.
+are left out unless asked for with ``keep``. Very long texts are scored whole: a worker holds the words of one.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.plans.storage import Scratch
+
 from .bpe import texts_of
 from .language_id import _Shared, held_out_row
 from .linear import ridge, sigmoid
 from .quality_model import SAMPLE, labelled
 
-TERMS = 400
 CONTEXT = 20
 FUZZY_LETTERS = 5
 _OPEN, _CLOSE = "\"'“„«‹‘", "\"'”“»›’"
@@ -192,7 +194,7 @@ class Scorer:
         return opened and any(x.rstrip(".,;:!?")[-1:] in _CLOSE for x in behind)
 
 
-def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
+def learn_lexicon(rows: DataFrame) -> Lexicon:
     """The lexicon of ``rows(doc_id, text, y)``: terms whose share of toxic texts stands out by five deviations."""
 
     def run(batches):
@@ -217,18 +219,18 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array(d, pa.int64()) for d in data]], names=["term", "n0", "n1", "p0", "p1"])
 
     summed = rows.select("text", "y").mapInArrow(run, "term string, n0 long, n1 long, p0 long, p1 long").groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "p0", "p1")])
-    # Toxic texts of one kind may be few, so a term has to be in five of them.
-    found = summed.where("(n1 >= 5 and n1 >= n0 / 8) or term = ''").orderBy(F.desc(F.col("n1") / (F.col("n0") + 1)), "term").limit(50_000).toPandas()
-    whole = found[found["term"] == ""]
-    if not len(whole) or not whole["n1"].iloc[0] or not whole["n0"].iloc[0]:
-        return Lexicon({})
-    n0, n1, p0, p1 = (float(whole[c].iloc[0]) for c in ("n0", "n1", "p0", "p1"))
-    found = found[found["term"] != ""]
-    share = (found["n0"] + found["n1"]) / (n0 + n1)
-    z = (found["n1"] / n1 - found["n0"] / n0) / np.sqrt(share * (1 - share) * (1 / n0 + 1 / n1))
-    weight = np.log((found["p1"] + 0.5) / p1) - np.log((found["p0"] + 0.5) / p0)
-    found = found.assign(z=z, weight=weight)
-    found = found[(z > 5) & (weight > 1)]
+    with Scratch(rows.sparkSession) as tmp:
+        # Toxic texts of one kind may be few, so a term has to be in five of them.
+        counted = tmp.written(summed.where("n1 >= 5 or term = ''"), "terms")
+        whole = counted.where("term = ''").first()
+        if whole is None or not whole["n1"] or not whole["n0"]:
+            return Lexicon({})
+        n0, n1, p0, p1 = (float(whole[c]) for c in ("n0", "n1", "p0", "p1"))
+        tested = counted.where("term <> ''").withColumn("_share", F.expr(f"(n0 + n1) / {n0 + n1!r}D"))
+        tested = tested.withColumn("z", F.expr(f"(n1 / {n1!r}D - n0 / {n0!r}D) / sqrt(_share * (1 - _share) * {1 / n0 + 1 / n1!r}D)"))
+        tested = tested.withColumn("weight", F.expr(f"ln((p1 + 0.5D) / {p1!r}D) - ln((p0 + 0.5D) / {p0!r}D)"))
+        # What passes is of the sample's bound.
+        found = tested.where("_share < 1 and z > 5 and weight > 1").select("term", "p1", "z", "weight").toPandas()
     # A beginning that one word makes up for the most part says nothing beyond that word.
     words = {t: n for t, n in zip(found["term"], found["p1"]) if not t.endswith("*")}
     most: dict[str, int] = {}
@@ -236,7 +238,7 @@ def learn_lexicon(rows: DataFrame, terms: int = TERMS) -> Lexicon:
         for k in range(4, min(len(w), 9)):
             most[w[:k]] = max(most.get(w[:k], 0), n)
     own = [not t.endswith("*") or most.get(t[:-1], 0) < 0.6 * n for t, n in zip(found["term"], found["p1"])]
-    found = found[own].sort_values(["z", "term"], ascending=[False, True]).head(terms)
+    found = found[own].sort_values(["z", "term"], ascending=[False, True])
     return Lexicon(dict(zip(found["term"], found["weight"].astype(float))))
 
 
