@@ -17,7 +17,8 @@ adaptive execution can split. Nothing is collected per window, anchor or documen
 
 Defined results: null texts have no words; rows with a null id are kept whole and are never a reason to remove; rows of one
 id are one document, so they never remove from each other; an empty table gives an empty result; further columns are
-carried along, whatever their names.
+carried along, whatever their names. Very long texts are cut like others: a worker holds one whole, with some 40 bytes for
+each byte of it while it is hashed, and its spans are as many as its repeated passages.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmatch.plans.storage import written
+from quillmatch.plans.batches import small_batches
+from quillmatch.plans.storage import Scratch, written
 
 from .bitmap import Bitmap, bitmap_of
 from .kernel import Slice, U, run_hashes, signed, slices
@@ -64,7 +66,7 @@ def _text_keys(s: Slice) -> np.ndarray:
     return np.array([int.from_bytes(hashlib.md5(raw[a:b]).digest()[:8], "big") for a, b in zip(at, at[1:])], U)
 
 
-def shared_anchors(docs: DataFrame, width: int) -> tuple[Bitmap, int]:
+def shared_anchors(docs: DataFrame, width: int, tmp: Scratch) -> tuple[Bitmap, int]:
     """A bitmap of the anchors that occur in two different texts or more, and their number."""
 
     def run(batches):
@@ -81,7 +83,7 @@ def shared_anchors(docs: DataFrame, width: int) -> tuple[Bitmap, int]:
 
     anchors = docs.select("text").mapInArrow(run, "anchor long, low long, high long")
     common = anchors.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("anchor")
-    common = written(common, "anchors")
+    common = tmp.written(common, "anchors")
     n = common.count()
     # An anchor that passes wrongly costs thirty windows, so the bitmap is a sparse one.
     return bitmap_of(common, "anchor", n, bits_a_key=32), n
@@ -108,9 +110,11 @@ def _row_key(text_keys: np.ndarray) -> np.ndarray:
     return (text_keys >> U(32)) & U(0x7FFFFFFF)
 
 
-def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int, tmp: Scratch) -> DataFrame:
     """``(doc_id, row_key, spans)``: for each text of ``docs(doc_id, text)`` with words to remove, their places.
 
+    The result reads tables of ``tmp``.
+
     ``spans`` holds (first word, word behind the last) pairs, ascending and apart; it is null if all words go, provided that
     there are as many as a window has. ``row_key`` tells the texts of rows with one id apart.
     """
@@ -119,7 +123,7 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     width = length - PERIOD + 1
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     spark = docs.sparkSession
-    bitmap, n = shared_anchors(rows, width)
+    bitmap, n = shared_anchors(rows, width, tmp)
     held = spark.sparkContext.broadcast(bitmap)
 
     def run(batches):
@@ -135,15 +139,17 @@ def repeated_spans(docs: DataFrame, length: int = WINDOW) -> DataFrame:
                 place = _row_key(_text_keys(s))[own] << U(32) | (starts - s.first[:-1][own]).astype(U)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(names[0])), pa.array(signed(names[1])), pa.array(ids[s.rows.start : s.rows.stop][own]), pa.array(signed(place))], names=["a", "b", "doc_id", "place"])
 
-    # Named twice rather than written: naming windows again costs less than their room on disk.
+    # Named twice rather than written: naming windows again costs less than their room on disk. What repeats is written, so
+    # that the join has a plain exchange on both sides and adaptive execution can split a hot window.
     windows = rows.mapInArrow(run, "a long, b long, doc_id long, place long")
     least = windows.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-    late = windows.join(least.select("a", "b", "low"), ["a", "b"]).where("doc_id > low").select("doc_id", "place")
+    least = tmp.written(least.select("a", "b", "low"), "windows")
+    late = windows.join(least.hint("merge"), ["a", "b"]).where("doc_id > low").select("doc_id", "place")
     spans = late.groupBy("doc_id", F.shiftright("place", 32).alias("row_key")).agg(F.sort_array(F.collect_set(F.expr("cast(place & 4294967295 as int)"))).alias("at"))
-    joined = f"""aggregate(at, cast(array() as array<struct<a: int, b: int>>), (acc, x) -> case
-        when size(acc) > 0 and element_at(acc, -1).b >= x
-        then concat(slice(acc, 1, size(acc) - 1), array(named_struct('a', element_at(acc, -1).a, 'b', x + {length})))
-        else concat(acc, array(named_struct('a', x, 'b', x + {length}))) end)"""
+    # A span begins at a window that the one before it doesn't touch.
+    spans = spans.withColumn("first", F.expr(f"filter(sequence(1, size(at)), i -> i = 1 or at[i - 1] > at[greatest(i - 2, 0)] + {length})"))
+    joined = f"""zip_with(first, concat(slice(first, 2, size(first)), array(size(at) + 1)), (x, y) ->
+        named_struct('a', at[x - 1], 'b', at[y - 2] + {length}))"""
     parts = spans.select("doc_id", "row_key", F.expr(joined).alias("spans"))
     named = rows.select("doc_id", F.md5(F.col("text").cast("binary")).alias("name"), F.expr(_ROW_KEY).alias("row_key"))
     first = named.groupBy("name").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
@@ -158,10 +164,12 @@ def remove(docs: DataFrame, length: int = WINDOW) -> DataFrame:
     """
     columns = docs.columns
     boxed = docs.select(F.struct(*[docs[c] for c in columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    spans = written(repeated_spans(docs.select("doc_id", "text"), length), "spans")
-    # The texts of one id are few; all their spans go along with each and the text's own are found by its key.
+    with Scratch(docs.sparkSession) as tmp, small_batches(docs.sparkSession):
+        spans = written(repeated_spans(docs.select("doc_id", "text"), length, tmp), "spans")
+    # The texts of one id are few; all their spans go along with each and the text's own are found by its key. One plan for
+    # every size: spans grow with the corpus and are never broadcast.
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("row_key", "spans")).alias("_spans"))
-    met = boxed.join(spans, boxed["_id"] == spans["doc_id"], "left").select("_row", "_spans")
+    met = boxed.join(spans.hint("merge"), boxed["_id"] == spans["doc_id"], "left").select("_row", "_spans")
     schema = met.select("_row").schema.add("_words", "long").add("_removed", "long").add("_kept", "string")
 
     def run(batches):
