@@ -43,67 +43,90 @@ def normalised(rows: DataFrame) -> DataFrame:
 
 
 def dim_ranks(vectors: DataFrame) -> DataFrame:
-    """``(dim, maxw, rank)``: dimensions by greatest weight and then by name, ascending from 1: a report of all."""
-    return vectors.groupBy("dim").agg(F.max("w").alias("maxw")).withColumn("rank", F.row_number().over(Window.orderBy("maxw", "dim")))
+    """``(dim, maxw, rank)``: dimensions by greatest weight and then by name, ascending from 1: a report of all.
 
-
-def indexed(vectors: DataFrame, t: float) -> DataFrame:
-    """``vectors`` with ``held``: false for the leading dimensions that together cannot reach ``t``."""
+    Dimensions are dealt by ranges; a rank is the place within its range behind the sizes of the ranges before.
+    """
+    n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     greatest = vectors.groupBy("dim").agg(F.max("w").alias("maxw"))
-    order = Window.partitionBy("id").orderBy("maxw", "dim").rowsBetween(Window.unboundedPreceding, 0)
-    reach = F.sum(F.col("w") * F.col("maxw")).over(order)
-    return vectors.join(greatest, "dim").select("id", "dim", "w", (reach >= t - SLACK).alias("held"))
+    dealt = written(greatest.repartitionByRange(n, "maxw", "dim").withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))  # one row for each range
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("maxw", "dim"))
+    return dealt.withColumn("_place", within).join(before, "_range").select("dim", "maxw", (F.col("_before") + F.col("_place")).alias("rank"))
 
 
-def _check(t: float) -> None:
-    if not t > 0:
-        raise ValueError("the threshold must be above 0")
+def short_names(tokens: Column) -> Column:
+    """Tokens by 16 bytes each, their MD5, so that long tokens are not moved as dimensions."""
+    return F.transform(tokens, lambda x: F.unhex(F.md5(x.cast("binary"))))
+
+
+def indexed(vectors: DataFrame, t: float) -> DataFrame:
+    """``(id, dim, w, held, below, rest)``.
+
+    ``held`` is false for the leading dimensions of a vector that together cannot reach ``t``; ``below`` is the length of the
+    part of a vector before a dimension, ``rest`` that of its left-out dimensions.
+    """
+    if dict(vectors.dtypes)["dim"] == "string":
+        vectors = vectors.withColumn("dim", F.unhex(F.md5(F.col("dim").cast("binary"))))
+    greatest = vectors.groupBy("dim").agg(F.max("w").alias("maxw"))
+    order = Window.partitionBy("id").orderBy("maxw", "dim")
+    reach = F.sum(F.col("w") * F.col("maxw")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    below = F.sqrt(F.coalesce(F.sum(F.col("w") * F.col("w")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    ranked = vectors.join(greatest, "dim").select("id", "dim", "w", (reach >= t - SLACK).alias("held"), below.alias("below"))
+    rest = F.sqrt(F.sum(F.when(F.col("held"), 0.0).otherwise(F.col("w") * F.col("w"))).over(Window.partitionBy("id")))
+    return ranked.withColumn("rest", rest)
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
-    """``(j, i, part)``, ``j < i``: pairs that meet in an indexed dimension of ``j``, and that part of their product."""
-    index = rows.where("held").select(F.col("id").alias("j"), "dim", F.col("w").alias("v"))
-    probe = rows.select(F.col("id").alias("i"), "dim", "w")
-    return index.join(probe, "dim").where("j < i").groupBy("j", "i").agg(F.sum(F.col("v") * F.col("w")).alias("part"))
+    """``(j, i, part, more)``, ``j < i``: pairs that meet in an indexed dimension of ``j``, that part of their product, and
+    what the left-out dimensions of ``j`` can add: the product of their length with that of ``i`` before the first meeting."""
+    index = rows.where("held").select(F.col("id").alias("j"), "dim", F.col("w").alias("v"), "rest")
+    probe = rows.select(F.col("id").alias("i"), "dim", "w", "below")
+    met = index.join(probe, "dim").where("j < i").groupBy("j", "i")
+    return met.agg(F.sum(F.col("v") * F.col("w")).alias("part"), (F.max("rest") * F.min("below")).alias("more"))
 
 
-def _survivors(rows: DataFrame, met: DataFrame, t: float) -> DataFrame:
-    """Candidates that the left-out dimensions of ``j`` can still lift to ``t``: their product is at most their length."""
-    rest = rows.where("not held").groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rest"))
-    lifted = met.join(rest, met["j"] == rest["id"], "left").withColumn("rest", F.coalesce("rest", F.lit(0.0)))
-    return lifted.where(F.col("part") + F.col("rest") >= t - SLACK).select("j", "i", "part")
+def _survivors(met: DataFrame, t: float) -> DataFrame:
+    """Candidates that can still reach ``t``."""
+    return met.where(F.col("part") + F.col("more") >= t - SLACK).select("j", "i", "part")
 
 
 def _exact(rows: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     """Adds the product over the left-out dimensions and keeps what reaches ``t``."""
     left = rows.where("not held").select(F.col("id").alias("j"), "dim", F.col("w").alias("v"))
     right = rows.select(F.col("id").alias("i"), "dim", "w")
-    more = pairs.select("j", "i").join(left, "j").join(right, ["i", "dim"]).groupBy("j", "i").agg(F.sum(F.col("v") * F.col("w")).alias("more"))
-    whole = pairs.join(more, ["j", "i"], "left").select("j", "i", (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("cos"))
+    more = pairs.select("j", "i").join(left, "j").join(right, ["i", "dim"]).select("j", "i", (F.col("v") * F.col("w")).alias("part"))
+    whole = pairs.unionByName(more).groupBy("j", "i").agg(F.sum("part").alias("cos"))
     return whole.where(F.col("cos") >= t - SLACK)
 
 
 def cosine_join(vectors: DataFrame, t: float) -> DataFrame:
-    """``(j, i, cos)``, ``j < i``, for all pairs of normalised vectors whose product is at least ``t``, which is above 0."""
-    _check(t)
+    """``(j, i, cos)``, ``j < i``, for all pairs of normalised vectors whose product is at least ``t``.
+
+    A threshold of 0 or less gives all pairs that share a dimension.
+    """
     rows = written(indexed(vectors, t), "indexed")
-    return _exact(rows, _survivors(rows, _candidates(rows), t), t)
+    return _exact(rows, written(_survivors(_candidates(rows), t), "survivors"), t)
 
 
 def cosine_join_bruteforce(vectors: DataFrame, t: float) -> DataFrame:
-    """The same from one unpruned equi-join on the dimensions."""
-    _check(t)
+    """The same from one unpruned equi-join on the dimensions; with a threshold of 0 or less, all pairs of ids."""
     left = vectors.select(F.col("id").alias("j"), "dim", F.col("w").alias("v"))
     right = vectors.select(F.col("id").alias("i"), "dim", "w")
-    return left.join(right, "dim").where("j < i").groupBy("j", "i").agg(F.sum(F.col("v") * F.col("w")).alias("cos")).where(F.col("cos") >= t - SLACK)
+    found = left.join(right, "dim").where("j < i").groupBy("j", "i").agg(F.sum(F.col("v") * F.col("w")).alias("cos")).where(F.col("cos") >= t - SLACK)
+    if t > SLACK:
+        return found
+    ids = vectors.select("id").distinct()
+    pairs = ids.select(F.col("id").alias("j")).join(ids.select(F.col("id").alias("i")), F.col("j") < F.col("i"))
+    return pairs.join(found, ["j", "i"], "left").select("j", "i", F.coalesce("cos", F.lit(0.0)).alias("cos"))
 
 
 def cosine_join_counts(vectors: DataFrame, t: float) -> DataFrame:
     """One row ``(candidates, survivors, pairs)``: what each stage of ``cosine_join`` leaves."""
-    _check(t)
     rows = written(indexed(vectors, t), "indexed")
     met = written(_candidates(rows), "met")
-    left = written(_survivors(rows, met, t), "survivors")
+    left = written(_survivors(met, t), "survivors")
     counts = [x.agg(F.count("*").alias(name)) for x, name in ((met, "candidates"), (left, "survivors"), (_exact(rows, left, t), "pairs"))]
     one = [c.withColumn("k", F.lit(1)) for c in counts]
     return one[0].join(one[1], "k").join(one[2], "k").select("candidates", "survivors", "pairs")

@@ -10,6 +10,7 @@ from quillmatch.plans.storage import written
 
 from . import cluster, cosine
 
+# The names that callers of such handles may give.
 BACKENDS = ("cpu", "gpu", "gpu+cpu", "gpucpu", "gpu_cpu")
 
 
@@ -31,8 +32,13 @@ class Rationer:
     def ratio(self, a: str | Column, b: str | Column) -> Column:
         return columns.ratio(a, b)
 
+    def edge(self, a: str | Column, b: str | Column, t: float) -> Column:
+        """The ratio where it is at least ``t``, else null: exact whatever ``delta`` is."""
+        return columns.edge(a, b, t, self.delta)
+
     def ratio_many(self, pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-        """``pairs`` with ``ratio``; equal pairs meet in one partition and are scored once for each batch."""
+        """``pairs`` with ``ratio``: dealt and sorted by ``b``, so that each ``b`` is indexed once and equal pairs are scored
+        once; the columns of ``pairs`` tell rows apart, which come in no order."""
         n = self.threads or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return pairs.repartition(n, b, a).sortWithinPartitions(b, a).withColumn("ratio", columns.ratio(a, b))
 
@@ -78,7 +84,7 @@ class CosineJoiner:
 
     @classmethod
     def from_token_docs(cls, docs: DataFrame, idx: str, tokens: Column) -> CosineJoiner:
-        return cls(cosine.normalised(cosine.tfidf(docs, idx, tokens)))
+        return cls(cosine.normalised(cosine.tfidf(docs, idx, cosine.short_names(tokens))))
 
     @classmethod
     def from_rows(cls, rows: DataFrame) -> CosineJoiner:

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillmatch.functions import columns, kernel
+from quillmatch.functions import columns
 from quillmatch.operators import cluster, cosine, lsh, pairs
-from quillmatch.operators.handles import CosineJoiner, Rationer
+from quillmatch.operators.handles import BACKENDS, CosineJoiner, Rationer, backend
+from quillmatch.plans.storage import fresh_path
+from quillmatch.sources import corpora
+
 
 def _lines():
     return F.split(F.col("text"), "\n")
@@ -35,7 +38,7 @@ def _docs(spark, sf_dir):
 
 
 def _vectors(spark, sf_dir):
-    return cosine.normalised(cosine.tfidf(_docs(spark, sf_dir), "doc_id", _lines()))
+    return cosine.normalised(cosine.tfidf(_docs(spark, sf_dir), "doc_id", cosine.short_names(_lines())))
 
 
 def ro_ratio_part_names(spark, sf_dir):
@@ -48,7 +51,7 @@ def ro_ratio_reversed(spark, sf_dir):
 
 def ro_ratio_nation_region(spark, sf_dir):
     n, r = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("a")), _t(spark, sf_dir, "region").select(F.col("r_name").alias("b"))
-    return n.join(F.broadcast(r), F.lit(True)).select("a", "b", columns.ratio("a", "b").alias("r"))
+    return n.join(r, F.lit(True)).select("a", "b", columns.ratio("a", "b").alias("r"))
 
 
 def ro_topk_part_names(spark, sf_dir):
@@ -219,8 +222,125 @@ def lsh_candidates_docs(spark, sf_dir):
     return lsh.candidates(_docs(spark, sf_dir), "doc_id", "text", 128, 4)
 
 
-def lsh_candidates_bench(spark, sf_dir):
-    return lsh.candidates(_t(spark, sf_dir, "benchmark"), "item_id", "text", 16, 2)
+def lsh_candidates_turns(spark, sf_dir):
+    """Turns of conversations that share one of sixteen hashes."""
+    turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return lsh.candidates(turns, "id", "text", 16, 1)
+
+
+LIST = ["tide", "diet", "", "tide", "žluť"]
+
+
+def list_source(spark, sf_dir):
+    return corpora.from_list(spark, LIST)
+
+
+def _nul_file(spark, sf_dir):
+    path = fresh_path(spark, "nul")
+    corpora.write_nul_separated(_t(spark, sf_dir, "benchmark"), path)
+    return path
+
+
+def nul_source_benchmark(spark, sf_dir):
+    """All texts of ``benchmark``, written and read as NUL-separated entries."""
+    return corpora.read_nul_separated(spark, _nul_file(spark, sf_dir))
+
+
+def nul_sample_benchmark(spark, sf_dir):
+    """The reader's seeded sample of ten entries."""
+    return corpora.read_nul_separated(spark, _nul_file(spark, sf_dir), sample=10, errors="surrogatepass")
+
+
+def sparse_file_nation(spark, sf_dir):
+    """Nations as a binary sparse-row file: row ``k`` has the dimensions region and 100 + nation."""
+    rows = [[(r.n_regionkey, 0.5), (100 + r.n_nationkey, float(r.n_nationkey))] for r in _t(spark, sf_dir, "nation").orderBy("n_nationkey").collect()]
+    path = fresh_path(spark, "sparse")
+    corpora.write_sparse_file(spark, rows, path)
+    return corpora.read_sparse_rows(spark, path).select("id", "dim", "w")
+
+
+def zipf_rows(spark, sf_dir):
+    return corpora.zipf_rows(spark, 2000).select("id", "dim", F.round("w", 9).alias("w"))
+
+
+def matching_stats_nation(spark, sf_dir):
+    """Every nation against every region: the longest match that ends at each place, and the sum of all."""
+    n, r = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("a")), _t(spark, sf_dir, "region").select(F.col("r_name").alias("b"))
+    pairs_ = n.join(r, F.lit(True))
+    stats = pairs_.select("a", "b", F.posexplode(columns.matching_stats("a", "b")).alias("k", "m"))
+    return stats.select("a", "b", F.col("k").cast("long").alias("k"), F.col("m").cast("long").alias("m"))
+
+
+def matching_stats_cost_parts(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", columns.matching_stats_cost("a", "b").alias("cost"))
+
+
+def b2j_ratio_part_names(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", columns.b2j_ratio("a", "b").alias("r"))
+
+
+def work_estimate_parts(spark, sf_dir):
+    return _name_pairs(spark, sf_dir).select("a", "b", columns.work_estimate("a", "b").alias("work"))
+
+
+def rationer_edge_nation_region(spark, sf_dir):
+    """A handle's ratio and edge, with an approximation allowed that changes nothing."""
+    n, r = _t(spark, sf_dir, "nation").select(F.col("n_name").alias("a")), _t(spark, sf_dir, "region").select(F.col("r_name").alias("b"))
+    held = Rationer("CPU", delta=0.2)
+    return n.join(r, F.lit(True)).select("a", "b", held.ratio("a", "b").alias("r"), held.edge("a", "b", 0.5).alias("e"))
+
+
+def prepared_sizes(spark, sf_dir):
+    """How many texts prepared corpora hold."""
+    whole = Rationer().prepare(_t(spark, sf_dir, "nation"), "n_nationkey", "n_name")
+    none = Rationer().prepare(_t(spark, sf_dir, "nation").where("false"), "n_nationkey", "n_name")
+    return spark.createDataFrame([("all", len(whole), whole.is_empty()), ("none", len(none), none.is_empty())], "corpus string, n long, is_empty boolean")
+
+
+def backend_names(spark, sf_dir):
+    """The accepted names and the backend that does the work; another name raises ValueError."""
+
+    def of(name):
+        try:
+            return backend(name)
+        except ValueError:
+            return "ValueError"
+
+    names = [*BACKENDS, *[x.upper() for x in BACKENDS], "tpu", ""]
+    return spark.createDataFrame([(x, of(x)) for x in names], "name string, backend string")
+
+
+def join_counts_parts(spark, sf_dir):
+    return pairs.join_counts(_name_corpus(spark, sf_dir), "idx", "p_name", 0.75)
+
+
+def all_pairs_nation(spark, sf_dir):
+    """A threshold of 0 lets all pairs through."""
+    n = _t(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("idx"), F.col("n_name").alias("text"))
+    return pairs.similarity_join(n, t=0.0).select("i", "j", F.col("ratio").alias("r"))
+
+
+def symmetric_difference_parts(spark, sf_dir):
+    """What the joins at two thresholds have apart."""
+    corpus = _name_corpus(spark, sf_dir)
+    wide, narrow = (pairs.similarity_join(corpus, "idx", "p_name", t).select("i", "j", F.col("ratio").alias("r")) for t in (0.75, 0.8))
+    return pairs.symmetric_difference(narrow.where("i % 3 <> 0"), wide.where("i % 3 <> 1")).select("i", "j", "r", "side")
+
+
+def cosine_pairs_docs(spark, sf_dir):
+    """Each document against the next: given pairs, whether or not they share a line."""
+    v = _vectors(spark, sf_dir)
+    asked = _docs(spark, sf_dir).select(F.col("doc_id").alias("j"), (F.col("doc_id") + 1).alias("i"))
+    return _rounded(cosine.cosine_pairs(v, asked))
+
+
+def cosine_all_pairs_nation(spark, sf_dir):
+    """Nations as vectors of their regions and keys; a threshold of 0 gives all pairs."""
+    n = _t(spark, sf_dir, "nation")
+    rows = n.select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("long").alias("dim"), F.lit(2.0).alias("w")).union(
+        n.select(F.col("n_nationkey").cast("long"), F.col("n_nationkey").cast("long") + 100, F.lit(1.0))
+    )
+    return _rounded(cosine.cosine_join_bruteforce(cosine.normalised(rows), 0.0))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -229,7 +349,10 @@ QUERIES = {f.__name__: f for f in (
     length_blocked_pairs, qualifying_pairs_parts, all_pairs_sum_parts, cluster_parts, cluster_parts_multi, cluster_sizes_parts, cluster_docs_multi,
     cluster_docs_lsh, tfidf_weights_docs, doc_freq_docs, idf_docs, cosine_join_docs_t08, cosine_join_docs_t05, cosine_join_bruteforce_docs,
     cosine_join_sweep, cosine_from_rows_lineitem, cosine_join_counts_docs, dim_rank_maxw, delta_chain_cap, shingle_hashes_bench,
-    minhash_signatures_bench, lsh_candidates_docs, lsh_candidates_bench,
+    minhash_signatures_bench, lsh_candidates_docs, lsh_candidates_turns, list_source, nul_source_benchmark,
+    nul_sample_benchmark, sparse_file_nation, zipf_rows, matching_stats_nation, matching_stats_cost_parts, b2j_ratio_part_names,
+    work_estimate_parts, rationer_edge_nation_region, prepared_sizes, backend_names, join_counts_parts, all_pairs_nation,
+    symmetric_difference_parts, cosine_pairs_docs, cosine_all_pairs_nation,
 )}
 
 
@@ -282,15 +405,37 @@ _FNV = """x AS (SELECT {id} id, hex(encode(text)) h, octet_length(encode(text))
   lambda h, b: ((xor(h, b)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT, 14695981039346656037::UBIGINT) h FROM g)"""
 
 
-def _minhash_sql(n: int) -> str:
+def _minhash_sql(n: int, id_: str = "item_id", table: str = "benchmark") -> str:
     a, b = lsh.permutations(n)
     values = ", ".join(f"({k}, {int(x)}::UBIGINT, {int(y)}::UBIGINT)" for k, (x, y) in enumerate(zip(a, b)))
-    return f"""{_FNV.format(id="item_id", table="benchmark")},
+    return f"""{_FNV.format(id=id_, table=table)},
  sig AS MATERIALIZED (SELECT id, k::BIGINT k, min(((a::UHUGEINT * h::UHUGEINT + b::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT) m FROM f, (VALUES {values}) p(k, a, b) GROUP BY id, k)"""
 
 
+def _zipf_sql(n: int) -> str:
+    def draw(a: str, b: str) -> str:
+        x = f"(({a} * 1000003 + {b} * 7919 + 117074) % 2147483647)"
+        for root in (48271, 16807, 48271, 16807):
+            x = f"(({x} * {root} + {a} + {b}) % 2147483647)"
+        return f"(({x} + 0.5::DOUBLE) / 2147483647)"
+
+    return f"""SELECT id, floor(u * u * u * 20000)::BIGINT dim, round(ln(2.0 + floor(u * u * u * 20000) / 50), 9) w FROM (SELECT id, {draw("l", "k")} u FROM (
+ SELECT id, k, CASE WHEN {draw("id", "14::BIGINT")} < 0.05 AND k > 0 THEN id - 1 ELSE id END l FROM (SELECT unnest(range(0, {n})) id), (SELECT unnest(range(0, 14)) k)))"""
+
+
+def _cosine_counts_sql(t: float) -> str:
+    return f"""WITH {_TF}, nm AS (SELECT id, sqrt(sum(w * w)) nrm FROM w GROUP BY id HAVING sqrt(sum(w * w)) > 0),
+ v AS MATERIALIZED (SELECT id, md5(dim) dim, w / nrm w FROM w JOIN nm USING (id) WHERE w <> 0),
+ r AS (SELECT v.*, sum(w * maxw) OVER o >= {t} - 1e-9 held, sqrt(coalesce(sum(w * w) OVER (PARTITION BY id ORDER BY maxw, dim ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) below
+   FROM v JOIN (SELECT dim, max(w) maxw FROM v GROUP BY dim) USING (dim) WINDOW o AS (PARTITION BY id ORDER BY maxw, dim ROWS UNBOUNDED PRECEDING)),
+ x AS MATERIALIZED (SELECT *, sqrt(sum(CASE WHEN held THEN 0 ELSE w * w END) OVER (PARTITION BY id)) rest FROM r),
+ c AS MATERIALIZED (SELECT a.id j, b.id i, sum(a.w * b.w) part, max(a.rest) * min(b.below) more FROM x a JOIN x b ON a.dim = b.dim AND a.id < b.id WHERE a.held GROUP BY ALL)
+ SELECT (SELECT count(*) FROM c) candidates, (SELECT count(*) FROM c WHERE part + more >= {t} - 1e-9) survivors, (SELECT count(*) FROM ({_cos_sql(_TF, t)})) pairs"""
+
+
 def oracle() -> dict[str, str]:
     """DuckDB SQL by query; the clusterings of long texts have none and are tested against the standard library's matcher."""
+    bands = ", b AS (SELECT id, k band, list(m ORDER BY k) v FROM sig GROUP BY ALL) SELECT DISTINCT x.id i, y.id j FROM b x JOIN b y ON x.band = y.band AND x.v = y.v AND x.id < y.id"
     hexed = "lpad(lower(to_hex({})), 16, '0')"
     parts = "WITH RECURSIVE " + _ro(_PARTS)
     length_pairs = " UNION ALL ".join(
@@ -332,10 +477,40 @@ def oracle() -> dict[str, str]:
         "cosine_join_sweep": f"WITH c AS ({_cos_sql(_TF, 0.55)}) {sweep}",
         "cosine_from_rows_lineitem": _cos_sql(_ROWS, 0.7),
         "dim_rank_maxw": f"WITH {_ROWS} SELECT dim, max(w) maxw, row_number() OVER (ORDER BY max(w), dim) rank FROM w GROUP BY dim",
-        "delta_chain_cap": "SELECT d delta, c::BIGINT cap FROM (VALUES "
-        + ", ".join(f"({d}::DOUBLE, {kernel.delta_to_chain_cap(d)})" for d in (-1.0, 0.0, 1.0, 2.0))
-        + ") v(d, c) UNION ALL SELECT d, greatest(1, ceil(1 / sqrt(d)))::BIGINT FROM (VALUES (0.01::DOUBLE), (0.05), (0.1), (0.2), (0.5)) v(d)",
+        "delta_chain_cap": "SELECT d delta, c::BIGINT cap FROM (VALUES (-1.0::DOUBLE, 4294967295), (0.0, 4294967295), (1.0, 1), (2.0, 1)) v(d, c) UNION ALL"
+        + " SELECT d, greatest(1, ceil(1 / sqrt(d)))::BIGINT FROM (VALUES (0.01::DOUBLE), (0.05), (0.1), (0.2), (0.5)) v(d)",
         "shingle_hashes_bench": f"WITH {_FNV.format(id='item_id', table='benchmark')} SELECT id, {hexed.format('h')} h FROM f",
         "minhash_signatures_bench": f"WITH {_minhash_sql(16)} SELECT id, k, {hexed.format('m')} m FROM sig",
-        "lsh_candidates_bench": f"WITH {_minhash_sql(16)}, b AS (SELECT id, k // 2 band, list(m ORDER BY k) v FROM sig GROUP BY ALL) SELECT DISTINCT x.id i, y.id j FROM b x JOIN b y ON x.band = y.band AND x.v = y.v AND x.id < y.id",
+        "lsh_candidates_turns": f"WITH {_minhash_sql(16, 'conv_id * 1000 + turn', 'conversations')} {bands}",
+        "list_source": "SELECT i::BIGINT idx, t AS text FROM (VALUES " + ", ".join(f"({k}, '{x}')" for k, x in enumerate(LIST)) + ") v(i, t)",
+        "nul_source_benchmark": "SELECT text FROM benchmark WHERE text <> ''",
+        "nul_sample_benchmark": "SELECT text FROM benchmark WHERE text <> '' ORDER BY md5('13:' || text), text LIMIT 10",
+        "sparse_file_nation": "SELECT n_nationkey::BIGINT id, n_regionkey::BIGINT dim, 0.5::DOUBLE w FROM nation UNION ALL SELECT n_nationkey, 100 + n_nationkey, n_nationkey FROM nation",
+        "zipf_rows": _zipf_sql(2000),
+        "matching_stats_nation": """SELECT n_name a, r_name b, k, list_max(list_filter(range(0, k + 2), lambda m: m = 0 OR contains(r_name, substr(n_name, (k + 2 - m)::INT, m::INT)))) m
+ FROM (SELECT n_name, r_name, unnest(range(0, length(n_name))) k FROM nation, region)""",
+        "matching_stats_cost_parts": f"""SELECT a, b, sum(list_max(list_filter(range(0, k + 2), lambda m: m = 0 OR contains(b, substr(a, (k + 2 - m)::INT, m::INT)))))::BIGINT AS cost
+ FROM (SELECT a, b, unnest(range(0, length(a))) k FROM ({_PARTS})) GROUP BY a, b""",
+        "b2j_ratio_part_names": f"{parts} SELECT a, b, r FROM ro",
+        "work_estimate_parts": f"""WITH p AS ({_PARTS}), c AS (SELECT p_name, c, count(*) n FROM {chars} GROUP BY ALL)
+ SELECT p.a, p.b, coalesce(sum(x.n * y.n), 0)::BIGINT AS work FROM p LEFT JOIN c x ON x.p_name = p.a LEFT JOIN c y ON y.p_name = p.b AND x.c = y.c GROUP BY ALL""",
+        "rationer_edge_nation_region": "WITH RECURSIVE " + _ro("SELECT n_name a, r_name b FROM nation, region") + " SELECT a, b, r, CASE WHEN r >= 0.5 THEN r END e FROM ro",
+        "prepared_sizes": "SELECT 'all' corpus, count(*) n, count(*) = 0 is_empty FROM nation UNION ALL SELECT 'none', 0, true",
+        "backend_names": "SELECT n AS name, CASE WHEN lower(n) IN ('cpu', 'gpu', 'gpu+cpu', 'gpucpu', 'gpu_cpu') THEN 'cpu' ELSE 'ValueError' END backend FROM (VALUES "
+        + "('cpu'), ('gpu'), ('gpu+cpu'), ('gpucpu'), ('gpu_cpu'), ('CPU'), ('GPU'), ('GPU+CPU'), ('GPUCPU'), ('GPU_CPU'), ('tpu'), ('')) v(n)",
+        "join_counts_parts": "WITH RECURSIVE " + _ro(_BOTH) + f""", c AS ({_ALL_PARTS}), k AS (SELECT p_name, c, count(*) n FROM {chars} GROUP BY ALL),
+ q AS (SELECT x.idx i, y.idx j, x.t a, y.t b FROM c x JOIN c y ON x.idx < y.idx),
+ m AS (SELECT q.i, q.j, sum(least(x.n, y.n)) m FROM q JOIN k x ON x.p_name = q.a JOIN k y ON y.p_name = q.b AND x.c = y.c GROUP BY ALL)
+ SELECT count(*) FILTER (r >= 0.75) qualifying, count(*) FILTER (2.0::DOUBLE * coalesce(m, 0) >= 0.75::DOUBLE * (length(q.a) + length(q.b))) verified
+ FROM q JOIN ro ON ro.a = q.a AND ro.b = q.b LEFT JOIN m USING (i, j)""",
+        "all_pairs_nation": "WITH RECURSIVE " + _ro("SELECT x.n_name a, y.n_name b FROM nation x, nation y WHERE x.n_nationkey < y.n_nationkey")
+        + " SELECT x.n_nationkey::BIGINT i, y.n_nationkey::BIGINT j, ro.r FROM nation x JOIN ro ON ro.a = x.n_name JOIN nation y ON y.n_name = ro.b WHERE x.n_nationkey < y.n_nationkey",
+        "symmetric_difference_parts": "WITH RECURSIVE " + _ro(_BOTH) + f""", c AS ({_ALL_PARTS}), q AS (SELECT x.idx i, y.idx j, ro.r FROM c x JOIN c y ON x.idx < y.idx JOIN ro ON ro.a = x.t AND ro.b = y.t),
+ l AS (SELECT * FROM q WHERE r >= 0.8 AND i % 3 <> 0), w AS (SELECT * FROM q WHERE r >= 0.75 AND i % 3 <> 1)
+ SELECT *, 'left' side FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM w) UNION ALL SELECT *, 'right' FROM (SELECT * FROM w EXCEPT ALL SELECT * FROM l)""",
+        "cosine_pairs_docs": f"""WITH {_TF}, nm AS (SELECT id, sqrt(sum(w * w)) nrm FROM w GROUP BY id HAVING sqrt(sum(w * w)) > 0), v AS (SELECT id, dim, w / nrm w FROM w JOIN nm USING (id) WHERE w <> 0)
+ SELECT d.doc_id j, d.doc_id + 1 i, round(coalesce(sum(a.w * b.w), 0.0), 6) cos FROM documents d LEFT JOIN v a ON a.id = d.doc_id LEFT JOIN v b ON b.id = d.doc_id + 1 AND b.dim = a.dim GROUP BY ALL""",
+        "cosine_all_pairs_nation": """SELECT a.n_nationkey::BIGINT j, b.n_nationkey::BIGINT i, CASE WHEN a.n_regionkey = b.n_regionkey THEN 0.8 ELSE 0.0 END::DOUBLE cos
+ FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey""",
+        "cosine_join_counts_docs": _cosine_counts_sql(0.8),
     }

@@ -16,13 +16,16 @@ def standard(a, b):
 @pytest.mark.parametrize(
     "a, b, r",
     [
-        ("", "", 1.0), ("", "x", 0.0), ("abc", "abc", 1.0), ("abc", "abd", 0.6666666666666666),
-        ("the quick brown fox", "the quick brown dog", 0.8947368421052632), ("ПриветМир", "ПриветМирЪ", 0.9473684210526315),
-        ("tide", "diet", 0.25), ("diet", "tide", 0.5), ("aaaaabbbbbccccc", "aaaaaxbbbbbxccccc", 0.9375),
+        ("", "", 1.0), ("", "q", 0.0), ("q", "", 0.0), ("oak", "oak", 1.0), ("oak", "oar", 2 / 3), ("a slow grey cat", "a slow grey cow", 26 / 30),
+        ("Дождь", "Дождик", 8 / 11), ("stone", "notes", 0.2), ("notes", "stone", 0.4), ("mmmmnnnnoooo", "mmmm.nnnn.oooo", 24 / 26), ("😀ok😀", "ok😀", 6 / 7),
     ],
 )
 def test_known_values(a, b, r):
-    assert kernel.ratio(a, b) == r
+    assert kernel.ratio(a, b) == kernel.b2j_ratio(a, b) == standard(a, b) == r
+
+
+def test_the_order_of_the_arguments_matters():
+    assert kernel.ratio("tide", "diet") != kernel.ratio("diet", "tide")
 
 
 @pytest.mark.parametrize("alphabet, most, rounds", [("abcde", 50, 600), ("aПб😀", 60, 300), ("abcdef", 900, 12), ("ab", 500, 12)])
@@ -54,7 +57,32 @@ def test_edge_agrees_with_the_ratio_at_every_threshold():
     assert kernel.edge("abc", "abc", 1.5) is None
 
 
-def test_subsequence_bound_is_never_below_the_matched_total():
+def test_early_exits_agree_with_the_ratio():
+    draw = random.Random(13)
+    for _ in range(60):
+        alphabet, n = draw.choice(["ab", "abcdefgh "]), draw.choice([70, 200, 500])
+        a = "".join(draw.choice(alphabet) for _ in range(n))
+        b = list(a)
+        for _ in range(draw.randint(0, n // 3)):
+            b[draw.randrange(n)] = draw.choice(alphabet)
+        index = kernel.Index("".join(b))
+        r = standard(a, index.text)
+        for t in (0.3, 0.75, 0.9, r):
+            assert kernel.edge(a, index, t) == (r if r >= t else None)
+            assert kernel.qualifies(a, index, t) == (r >= t)
+            assert kernel.ratio_capped(a, index, t) == (r if r <= t else 2.0)
+
+
+def test_subsequence_bound_of_many_pairs():
+    draw = random.Random(17)
+    texts = ["".join(draw.choice(draw.choice(["ab", "abcd😀"])) for _ in range(draw.choice([0, 1, 63, 64, 65, 200]))) for _ in range(40)]
+    left, right = ([draw.randrange(40) for _ in range(300)] for _ in range(2))
+    need = [draw.randint(0, 60 + len(texts[i]) // 2) for i in left]
+    got = kernel.lcs_reach_many(texts, left, right, need)
+    assert got.tolist() == [kernel.lcs_reaches(texts[i], texts[j], n) for i, j, n in zip(left, right, need)]
+
+
+def test_subsequence_bound_is_is_never_below_the_matched_total():
     draw = random.Random(11)
     for _ in range(200):
         a, b = ("".join(draw.choice("abc") for _ in range(draw.randint(0, 150))) for _ in range(2))
