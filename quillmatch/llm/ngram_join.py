@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillmatch.plans.batches import small_batches
 from quillmatch.plans.components import connected_components
 from quillmatch.plans.storage import Scratch, written
 
@@ -42,7 +43,7 @@ from .trie import Trie
 
 SHINGLE, PERCENT = 5, 75
 #: Sets and shingles of a block of a sub-trie, about.
-BLOCK_SETS, BLOCK_ITEMS = 1500, 400_000
+BLOCK_SETS, BLOCK_ITEMS = 600, 250_000
 #: Hashes of a sorted run.
 RUN = 1 << 20
 #: The sets of a sub-trie are tried in pairs, each once however many sub-tries it shares, if they have so many items a pair.
@@ -366,8 +367,12 @@ def link_sets(docs: DataFrame, text: str = "text", percent: int = PERCENT, shing
     A row's node is null if it has no shingles. Links are complete: two sets are in one component exactly if a chain of
     links joins them.
     """
+    with small_batches(docs.sparkSession):
+        return _link_sets(docs.select("doc_id", text), text, percent, shingle)
+
+
+def _link_sets(docs: DataFrame, text: str, percent: int, shingle: int) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
-    docs = docs.select("doc_id", text)
     rows, levels = _census(docs, text, shingle)
     classes = spark.sparkContext.broadcast(levels)
     twice = rows.where("n_shingles > 0").groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")).where("low < high")
