@@ -10,7 +10,9 @@ The ids are those of the ``tokenizers`` library for the same vocabulary file, wi
 special tokens. The merges run in ``tiktoken``, on ranks read from that very file, because it is several times faster.
 
 Defined results: null and empty texts have no ids; repeated rows and repeated or null ids are encoded each on its own;
-an empty table gives an empty result; further columns are carried along if asked for with ``keep``.
+an empty table gives an empty result; further columns are carried along if asked for with ``keep``. Very long texts are
+encoded whole, in time that grows with their length; a token of a million bytes takes a second. A vocabulary file of
+another kind raises an error.
 """
 
 from __future__ import annotations
@@ -24,12 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernel import U, mix, slices
+from .kernel import U, carried, mix, slices
 
 #: The pre-tokenizer of byte-level BPE vocabularies, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Single spaces between other characters: a token always ends before one.
-_GAP = re.compile(r" (?<=\S )(?=\S)")
 
 
 def _byte_letters() -> dict[str, int]:
@@ -39,6 +39,18 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _check(spec: dict) -> None:
+    """Refuses a file that another encoder than byte-level BPE with ``PATTERN`` is meant to read."""
+    model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type", "BPE") != "BPE" or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True):
+        raise ValueError("not a byte-level BPE vocabulary without prefix spaces")
+    if spec.get("normalizer") or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")):
+        raise ValueError("a normalizer or an option of the model isn't supported")
+    made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if any(x >= y for x, y in zip(made, made[1:])):
+        raise ValueError("ids do not follow the order of the merges")
+
+
 class Vocabulary:
     """Ranks, special tokens and bytes of each id, read from a vocabulary file of the ``tokenizers`` library."""
 
@@ -47,6 +59,7 @@ class Vocabulary:
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec)
         letters = _byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         ranks = {bytes(letters[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
@@ -56,12 +69,20 @@ class Vocabulary:
         self.lengths = np.array([len(t) for t in tokens], np.int64)
         self.begins = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
+        self.special_bytes = [s.encode() for s in self.special]
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def encode_plain(self, text: str) -> np.ndarray:
         """Ids of a text in which no string is special."""
         return self.encoding.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
+    def encode(self, data: bytes) -> bytes:
+        """The ids of a whole text in UTF-8, special tokens among them, as little-endian unsigned 32-bit integers."""
+        if self.special_split is None or not any(s in data for s in self.special_bytes):
+            return self.encode_plain(data.decode()).tobytes()
+        parts = self.special_split.split(data.decode())
+        return b"".join(np.array([self.special[p]], "<u4").tobytes() if p in self.special else self.encode_plain(p).tobytes() for p in parts)
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of some ids; bytes that are no UTF-8 become replacement characters."""
         size = self.lengths[ids]
@@ -222,56 +243,6 @@ class ChunkEncoder:
         return ids_left[:kept], (left[x:] + right, joined)
 
 
-class WordEncoder:
-    """Encodes texts by pieces that single spaces part, each piece once while it is remembered.
-
-    The pieces of a group of texts that aren't known yet are encoded together, as one text: between two of them a token
-    always ends, so the ids fall apart again by their lengths in bytes.
-    """
-
-    LIMIT = 500_000
-
-    def __init__(self, vocab: Vocabulary):
-        self.vocab = vocab
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        special = self.vocab.special
-        out: list = [None] * len(texts)
-        plain = []
-        for k, text in enumerate(texts):
-            if any(s in text for s in special):
-                parts = self.vocab.special_split.split(text)
-                made = self.encode_many([p for p in parts if p not in special])
-                made.reverse()
-                out[k] = b"".join(np.array([special[p]], "<u4").tobytes() if p in special else made.pop() for p in parts)
-            else:
-                plain.append((k, _GAP.split(text)))
-        if len(self.known) > self.LIMIT:
-            self.known.clear()
-        known = self.known
-        missing: set[str] = set()
-        for _, pieces in plain:
-            missing.update(pieces[1:])
-        new = [p for p in missing if p not in known]
-        if new:
-            ids = self.vocab.encode_plain(" " + " ".join(new))
-            ends = np.cumsum([len(p.encode()) + 1 for p in new])
-            cuts = (4 * (np.searchsorted(np.cumsum(self.vocab.lengths[ids]), ends) + 1)).tolist()
-            raw, begin = ids.tobytes(), 0
-            for piece, end in zip(new, cuts):
-                known[piece] = raw[begin:end]
-                begin = end
-        for k, (head, *rest) in plain:
-            first = self.vocab.encode_plain(head).tobytes() if head else b""
-            out[k] = first + b"".join([known[p] for p in rest])
-        return out
-
-
 _ENCODERS: dict = {}
 
 
@@ -293,7 +264,8 @@ def texts_of(column: pa.Array):
 
 def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), mask_bits: int = 7) -> DataFrame:
     """``keep`` and for every text ``_ids``, BINARY: its ids as little-endian unsigned 32-bit integers."""
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    keep = carried(keep, ("_ids", "_text"))
+    kept = docs.select(*keep, docs[text].alias("_text"))
     schema = docs.select(*keep).schema.add("_ids", "binary")
 
     def run(batches):
@@ -307,6 +279,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", keep: tuple[str, ...]
 
 def decode(encoded: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the text of ``_ids``, as ``_text``."""
+    keep = carried(keep, ("_ids", "_text"))
     schema = encoded.select(*keep).schema.add("_text", "string")
 
     def run(batches):
@@ -323,7 +296,8 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", keep: tuple[str,
 
     Ids and decoded texts are digested in the task that made them; neither is moved or kept.
     """
-    kept = docs.select(*keep, F.col(text).alias("_text"))
+    keep = carried(keep, ("n_tokens", "ids_sha256", "decoded_sha256", "_text"))
+    kept = docs.select(*keep, docs[text].alias("_text"))
     schema = docs.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
 
     def run(batches):

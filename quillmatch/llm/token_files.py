@@ -6,7 +6,8 @@ read in parallel, and a search for a document opens only the files, stripes and
 ``positions`` reads the files back.
 
 Defined results: null and empty texts have the end id alone; null document ids come first and documents of one id come in
-the order of their texts; an empty table makes files without rows; further columns of the input aren't written.
+the order of their texts; an empty table makes files without rows; further columns of the input aren't written; a very long
+text is one row, of four bytes for each id.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import WordEncoder, encoder, texts_of
+from quillmatch.plans.batches import small_batches
+
+from .bpe import texts_of, vocabulary
 
 SCHEMA = "doc_id long, n_tokens long, offset long, ids array<int>"
 OPTIONS = {
@@ -39,11 +42,11 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, partitio
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        own, place = encoder(vocab_path, WordEncoder), 0
+        vocab, place = vocabulary(vocab_path), 0
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                ids = [x + end for x in own.encode_many([raw.decode() for raw in texts_of(part.column(1))])]
+                ids = [vocab.encode(raw) + end for raw in texts_of(part.column(1))]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 bounds = np.concatenate([[0], np.cumsum(sizes)])
                 lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4")))
@@ -51,7 +54,8 @@ def write(docs: DataFrame, path: str, vocab_path: str, end_id: int = 0, partitio
                 place += int(bounds[-1])
 
     rows = dealt.sortWithinPartitions("doc_id", "text").mapInArrow(run, SCHEMA)
-    rows.write.options(**OPTIONS).orc(path)
+    with small_batches(spark):
+        rows.write.options(**OPTIONS).orc(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
