@@ -214,89 +214,97 @@ def lcs_reaches(a: str, b: str, need: int) -> bool:
     return len(a) - v.bit_count() >= need
 
 
-#: Words of 64 bits that ``lcs_reach_many`` keeps for a batch of pairs.
-_LANES = 1 << 16
+#: Bits that are packed into one integer, about.
+_PACKED = 1 << 16
+
+
+def _bit_masks(text) -> dict:
+    """For each character the integer with its places as bits."""
+    places: dict = {}
+    for i, c in enumerate(text):
+        places.setdefault(c, []).append(i)
+    out = {}
+    for c, own in places.items():
+        bits = np.zeros(own[-1] + 1, np.uint8)
+        bits[own] = 1
+        out[c] = int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    return out
+
 
+def _lanes_reach(lanes: list[tuple[int, dict, int]], b) -> list[bool]:
+    """For each lane (length, bit masks, need) whether its text and ``b`` have a common subsequence of the need.
 
-def lcs_reach_many(texts: list[str], left: np.ndarray, right: np.ndarray, need: np.ndarray) -> np.ndarray:
+    The texts stand side by side in one integer, a clear bit between each two, so one step serves all. Lanes that have what
+    they need, or can no longer reach it, are left, and what remains is packed anew when it is a half.
+    """
+    out = [False] * len(lanes)
+    live = [k for k, (n, _, need) in enumerate(lanes) if need <= min(n, len(b))]
+    state: dict[int, int] = {k: (1 << lanes[k][0]) - 1 for k in live}
+    at = 0
+    while live and at < len(b):
+        offset, full, v, where, places = 0, 0, 0, {}, []
+        for k in live:
+            n, masks, _ = lanes[k]
+            full |= (1 << n) - 1 << offset
+            v |= state[k] << offset
+            for c, m in masks.items():
+                where[c] = where.get(c, 0) | m << offset
+            places.append(offset)
+            offset += n + 1
+        packed = len(live)
+        while at < len(b):
+            for c in b[at : at + 64]:
+                m = where.get(c)
+                if m is not None:
+                    u = v & m
+                    v = (v + u | v - u) & full
+            at = min(at + 64, len(b))
+            left, kept, first = len(b) - at, [], []
+            for k, offset in zip(live, places):
+                n, _, need = lanes[k]
+                mine = v >> offset & (1 << n) - 1
+                have = n - mine.bit_count()
+                if have >= need:
+                    out[k] = True
+                elif have + left >= need:
+                    state[k] = mine
+                    kept.append(k)
+                    first.append(offset)
+            live, places = kept, first
+            if len(live) * 2 <= packed:
+                break
+    return out
+
+
+def lcs_reach_many(texts: list, left: np.ndarray, right: np.ndarray, need: np.ndarray) -> np.ndarray:
     """For pairs of places in ``texts``, whether their longest common subsequences have ``need`` characters.
 
-    As ``lcs_reaches``, for many pairs at once: pairs of like lengths are lanes of one matrix of bit words, and lanes that
-    can no longer reach their need are dropped on the way.
+    As ``lcs_reaches``, for all that meet one text at once.
     """
     left, right, need = (np.asarray(x, np.int64) for x in (left, right, need))
-    size = np.array([len(x) for x in texts], np.int64)
-    swap = size[left] < size[right]
-    long_, short = np.where(swap, right, left), np.where(swap, left, right)
     out = need <= 0
-    todo = np.flatnonzero(~out & (need <= size[short]))
-    if not len(todo):
-        return out
-    used = np.unique(np.concatenate([long_[todo], short[todo]]))
-    points = np.unique(np.concatenate([codes_of(texts[k]) for k in used.tolist()]))
-    codes = {k: np.searchsorted(points, codes_of(texts[k])) for k in used.tolist()}
-    todo = todo[np.lexsort((long_[todo], size[short[todo]], (size[long_[todo]] + 63) // 64))]
-    words = (size[long_[todo]] + 63) // 64
+    todo = np.flatnonzero(~out)
+    todo = todo[np.lexsort((left[todo], right[todo]))]
+    masks: dict[int, dict] = {}
     at = 0
     while at < len(todo):
-        # the batch ends where it is full; its lanes have as many words as its longest text
-        end = at + 1
-        while end < len(todo) and (end + 1 - at) * words[end] <= _LANES:
+        b, end, size = int(right[todo[at]]), at, 0
+        while end < len(todo) and right[todo[end]] == b and (end == at or size < _PACKED):
+            size += len(texts[left[todo[end]]])
             end += 1
-        _lanes(todo[at:end], int(words[end - 1]), codes, long_, short, size, need, out, len(points))
+        lanes = []
+        for k in todo[at:end].tolist():
+            a = int(left[k])
+            if a not in masks:
+                if len(masks) > 512:
+                    masks.clear()
+                masks[a] = _bit_masks(texts[a])
+            lanes.append((len(texts[a]), masks[a], int(need[k])))
+        out[todo[at:end]] = _lanes_reach(lanes, texts[b])
         at = end
     return out
 
 
-def _lanes(pairs, width, codes, long_, short, size, need, out, n_points) -> None:
-    own, slot = np.unique(long_[pairs], return_inverse=True)
-    steps = int(size[short[pairs]].max())
-    # only characters of the short texts are asked for; table row 0 is of characters that a text doesn't have
-    rows = [np.zeros((1, width), np.uint64)]
-    row_of = np.zeros((len(own), n_points), np.int64)
-    n = 1
-    for k, text in enumerate(own.tolist()):
-        c = codes[text]
-        has, local = np.unique(c, return_inverse=True)
-        bits = np.zeros((len(has), width * 64), bool)
-        bits[local, np.arange(len(c))] = True
-        rows.append(np.packbits(bits, axis=1, bitorder="little").view(np.uint64))
-        row_of[k, has] = np.arange(n, n + len(has))
-        n += len(has)
-    table = np.concatenate(rows)
-    lines = np.zeros((steps, len(pairs)), np.int64)
-    for k, (p, s) in enumerate(zip(short[pairs].tolist(), slot.tolist())):
-        c = codes[p]
-        lines[: len(c), k] = row_of[s, c]
-    v = np.full((len(pairs), width), ~np.uint64(0))
-    padding = width * 64 - size[long_[pairs]]
-    a, wanted, short_size = size[long_[pairs]], need[pairs], size[short[pairs]]
-    live = np.arange(len(pairs))
-    for k in range(steps):
-        m = table[lines[k]]
-        u = v & m
-        s = v + u
-        carry = s < u
-        if width > 1:
-            while True:
-                into = np.zeros_like(carry)
-                into[:, 1:] = carry[:, :-1]
-                if not into.any():
-                    break
-                s = s + into
-                carry = into & (s == 0)
-        v = s | (v & ~m)
-        if k & 31 == 31 or k == steps - 1:
-            have = a - (np.bitwise_count(v).sum(axis=1, dtype=np.int64) - padding)
-            out[pairs[live[have >= wanted]]] = True
-            keep = (have < wanted) & (have + np.maximum(short_size - k - 1, 0) >= wanted)
-            if not keep.any():
-                return
-            if keep.sum() < 0.8 * len(keep):
-                v, a, wanted, short_size, padding, live = v[keep], a[keep], wanted[keep], short_size[keep], padding[keep], live[keep]
-                lines = lines[:, keep]
-
-
 def edge(a: str, b: str | Index, t: float, bounded: bool = False, delta: float = 0.0) -> float | None:
     """The ratio if it is at least ``t``, else None. ``bounded``: the subsequence bound has been tried already.
 
