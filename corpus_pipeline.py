@@ -2,6 +2,11 @@
 
 Every stage is ``(spark, docs, sf_dir) -> DataFrame``. All but the last return the columns of ``documents``. ``run`` writes
 each stage's rows as Parquet in the session's shared folder and reads them again as the next one's input.
+
+Defined results, as in the operators: a null text is an empty one, which the classifier may reject and no later stage does;
+rows with a null id are never learned from, never removed as copies and never cut; rows of one id are judged each by its own
+text, but cut as one document; equal rows stay or go together; null languages, sources and sizes pass through (a null source
+is one of its own); an empty table gives an empty one with the same columns at every stage; very long texts pass whole.
 """
 
 from __future__ import annotations

@@ -127,6 +127,11 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[Slice]:
         k = end
 
 
+def carried(keep: tuple[str, ...], added: tuple[str, ...]) -> tuple[str, ...]:
+    """The columns to carry along: one with the name of an added column gives way to it."""
+    return tuple(c for c in keep if c not in added)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """The same bits as Spark's LONG."""
     return x.view(np.int64)

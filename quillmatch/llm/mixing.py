@@ -15,8 +15,8 @@ power ``alpha``; 0.5 favours small sources.
 Defined results: a null source is a source of its own; a float weight stands for the shortest decimal that reads as it;
 sources without a given weight, or with weight 0, follow when all others have run out, weighted among themselves as
 without given weights; equal documents are scheduled each on its own, ranked among themselves arbitrarily but never onto
-one place; an empty table gives an empty result; further columns are carried along, whatever their names, unless they are
-those added here; a slot beyond 2^63 raises OverflowError. ``parts`` is accepted and changes nothing.
+one place; an empty table gives an empty result; further columns are carried along, whatever their names, but one named as
+an added column gives way to it; very long texts are rows like others; a slot beyond 2^63 raises OverflowError.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 
 from quillmatch.plans.storage import fresh_path, written
 
+from .kernel import carried
+
 #: Blocks whose slots the driver holds before it writes them.
 PIECE = 1 << 20
 #: Tables of at most so many rows are broadcast; larger ones are joined by shuffles.
@@ -118,7 +120,7 @@ def period_table(spark, shares: list[int]) -> DataFrame:
 
 def schedule(
     docs: DataFrame, source: str | Column = "source", order: str | Column = "doc_id", weights: dict | None = None, block_docs: int = 16,
-    parts: int = 1000, alpha: float = 0.5, salts: int = 64,
+    alpha: float = 0.5, salts: int = 1024,
 ) -> DataFrame:
     """All of ``docs`` with ``block``, ``slot`` and ``place``, the document's place in its block.
 
@@ -139,7 +141,7 @@ def schedule(
     numbers, counts = (held[c].to_numpy() for c in ("_no", "_n"))
     if not len(counts):
         none = F.lit(None).cast("long")
-        return docs.select("*", none.alias("block"), none.alias("slot"), none.alias("place"))
+        return docs.select(*carried(tuple(docs.columns), ("block", "slot", "place")), none.alias("block"), none.alias("slot"), none.alias("place"))
     later = whole_weights([float(n) ** alpha for n in counts.tolist()])
     given = later
     if weights is not None:
@@ -161,7 +163,8 @@ def schedule(
         .withColumn("block", F.expr(f"_rank div {block_docs}"))
     )
     placed = ranked.join(slots, (F.col("_no") == F.col("_source_no")) & (F.col("block") == F.col("_turn")))
-    return placed.select("_row.*", "block", "slot", F.expr(f"_rank % {block_docs}").alias("place"))
+    own = [F.col("_row").getField(c).alias(c) for c in carried(tuple(docs.columns), ("block", "slot", "place"))]
+    return placed.select(*own, "block", "slot", F.expr(f"_rank % {block_docs}").alias("place"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

@@ -8,7 +8,7 @@ The model is fitted on at most about ``SAMPLE`` labelled rows, taken by a hash o
 Defined results: null and empty texts are scored as texts without words; null ids and rows without a label are scored but
 not learned from; rows of one id are scored each on its own; without labelled rows of both kinds the score is the share of
 ones (1.0 if there are none at all); an empty table gives an empty result; further columns are left out unless asked for
-with ``keep``.
+with ``keep``, where one named as an added column gives way to it. Very long texts are scored whole, their words in one array.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import carried
 from .language_id import held_out_row
 from .linear import lasso
 
@@ -154,6 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
 def score(docs: DataFrame, model: RuleModel, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``held_out``, ``score`` and ``predicted`` for every text of ``docs(doc_id, text)``."""
+    keep = carried(keep, ("held_out", "score", "predicted"))
     boxed = docs.select(F.struct(*[docs[c] for c in keep]).alias("_keep"), held_out_row(5, 0).alias("held_out"), "text")
     scored = statistics(boxed, keep=("_keep", "held_out")).select("_keep", "held_out", model.column().alias("score"))
     return scored.select("_keep.*", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -5,7 +5,7 @@ table into one boolean column. Words are runs of bytes other than space and ``\\
 
 Defined results: a null text counts as empty, which has no words and fails the base; rows with a null id or with an
 id that occurs again are judged each on its own; an empty table gives an empty result; further columns of the
-input are carried along when asked for with ``keep`` and never clash, for every step works under names of its own.
+input are carried along when asked for with ``keep``, whatever their names; one named as an added column gives way to it.
 Texts of any length are judged whole. The 8-word windows of a text are told apart by 64-bit hashes within that text.
 """
 
@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .kernel import carried
+
 WINDOW = 8
 
 #: Frequent function words of English, French, German and Spanish.
@@ -83,9 +85,9 @@ def _repeat_words(hashes: str) -> str:
 
 def score(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules=RULES) -> DataFrame:
     """``keep`` and, for every text: the counts, the ratios, ``base_failed`` and ``kept``."""
-    base = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    base = docs.select(F.struct(*[docs[c] for c in keep]).alias("_keep"), F.coalesce(docs[text], F.lit("")).alias("_t"))
     counted = base.select(
-        *keep,
+        "_keep",
         F.expr(r"array_remove(split(_t, '[ \\t-\\r]+'), '')").alias("_w"),
         F.expr(r"filter(split(_t, '\n'), l -> l rlike '[^ \\t-\\r]')").alias("_l"),
         F.expr(r"cast(length(_t) - regexp_count(_t, '[ \\t-\\r]') as long)").alias("word_chars"),
@@ -98,7 +100,7 @@ def score(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
     hashed = hashed.withColumn("_h", F.expr(f"slice(_h, 1, greatest(size(_w) - {WINDOW - 1}, 0))"))
     stops = ", ".join(f"'{f(w)}'" for w in dict.fromkeys(STOP_WORDS) for f in (str.lower, str.capitalize, str.upper))
     out = hashed.select(
-        *keep,
+        "_keep",
         F.size("_w").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -117,4 +119,6 @@ def score(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id"
         (100 * F.col("n_repeat_words") / words).alias("repeat_pct"),
         ((F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
     )
-    return out.select("*", (~F.col("base_failed") & compile_rules(rules)).alias("kept"))
+    out = out.select("*", (~F.col("base_failed") & compile_rules(rules)).alias("kept"))
+    own = out.columns[1:]
+    return out.select(*[F.col("_keep").getField(c).alias(c) for c in carried(keep, own)], *own)

@@ -13,7 +13,7 @@ fingerprints are searched once. ``near_counts`` only counts, so a large group of
 Defined results: null and empty texts, and those of separators only, have the fingerprint of zeros; repeated rows have
 equal fingerprints; an empty table gives an empty result. In ``edited`` null ids come before all others, rows of one id in
 the order of their texts; the last document is followed by the first that has an id, itself if it is alone. Further columns
-are left out unless asked for with ``keep``.
+are left out unless asked for with ``keep``. Very long texts are one fingerprint like others, their terms counted in blocks.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .kernel import Slice, run_hashes, slices
+from .kernel import Slice, carried, run_hashes, slices
 
 BITS = 128
 TERM_WORDS = 3
@@ -63,6 +63,7 @@ def fingerprints_of(s: Slice) -> list[str]:
 
 def fingerprint(docs: DataFrame, columns: dict[str, str], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the fingerprint of each text column; ``columns`` maps text columns to the names of the results."""
+    keep = carried(keep, tuple(columns.values()))
     n, schema = len(keep), docs.select(*keep).schema
     for name in columns.values():
         schema = schema.add(name, "string")

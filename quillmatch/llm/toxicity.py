@@ -15,7 +15,7 @@ lexicon, whatever their number.
 Defined results: null and empty texts are scored as texts without hits; null ids count as held out; rows without a label
 are scored but not learned from; repeated rows are scored each on its own; without labelled rows of both kinds there is no
 lexicon and the score is the share of ones, 0.0 if there are none; an empty table gives an empty result; further columns
-are left out unless asked for with ``keep``. Very long texts are scored whole: a worker holds the words of one.
+are left out unless asked for with ``keep``, where one named as an added column gives way to it. Very long texts are scored whole: a worker holds the words of one.
 """
 
 from __future__ import annotations
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from quillmatch.plans.storage import Scratch
 
 from .bpe import texts_of
+from .kernel import carried
 from .language_id import _Shared, held_out_row
 from .linear import ridge, sigmoid
 from .quality_model import SAMPLE, labelled
@@ -237,7 +238,7 @@ def learn_lexicon(rows: DataFrame) -> Lexicon:
     for w, n in words.items():
         for k in range(4, min(len(w), 9)):
             most[w[:k]] = max(most.get(w[:k], 0), n)
-    own = [not t.endswith("*") or most.get(t[:-1], 0) < 0.6 * n for t, n in zip(found["term"], found["p1"])]
+    own = np.array([not t.endswith("*") or most.get(t[:-1], 0) < 0.6 * n for t, n in zip(found["term"], found["p1"])], bool)
     found = found[own].sort_values(["z", "term"], ascending=[False, True])
     return Lexicon(dict(zip(found["term"], found["weight"].astype(float))))
 
@@ -271,7 +272,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
 def score(docs: DataFrame, model: Scorer, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, ``held_out``, ``score`` and ``predicted`` for every text of ``docs(doc_id, text)``."""
+    keep = carried(keep, ("held_out", "score", "predicted"))
+    inner = tuple(dict.fromkeys((*keep, "doc_id")))
     shared = _Shared(docs.sparkSession, Scorer(model.lexicon, model.weights))
-    schema = docs.select(*keep).schema.add("score", "double")
-    scored = _over(docs, shared, keep, schema, lambda own, x: [pa.array(sigmoid(own.weights[0] + x @ own.weights[1:]))])
+    schema = docs.select(*inner).schema.add("score", "double")
+    scored = _over(docs, shared, inner, schema, lambda own, x: [pa.array(sigmoid(own.weights[0] + x @ own.weights[1:]))])
     return scored.select(*keep, held_out_row(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

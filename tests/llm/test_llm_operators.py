@@ -1,8 +1,10 @@
 """The training-data operators against brute force, on small tables with awkward rows."""
 
 import hashlib
+import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -173,6 +175,74 @@ def test_fitted_scores(spark):
     assert quality_model.good(docs, quality_model.fit(docs, none)).columns == docs.columns
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize(
+    "text, quoted",
+    [
+        ('he is "scum" here', True), ("he is “scum”, here", True), ("they called him scum", True), ("he said that scum", True),
+        ('she "was such scum again" there', True), ("he is scum here", False), ('he is "nice" but scum', False),
+        ("said one two three four scum", False), ('an "open mark and scum', False), ("scum", False),
+    ],
+)
+def test_quotations(text, quoted):
+    words = text.encode().split()
+    at = next(k for k, w in enumerate(words) if b"scum" in w)
+    assert toxicity.Scorer._quoted(words, at) == quoted
+
+
+def test_toxicity_scores_are_those_of_the_definition(spark):
+    """Features from edit distances to every term, sums over hits and windows by the plain rule; then the logistic score."""
+    terms = {"wretch": 2.0, "scumbag": 3.0, "vile*": 1.5, "bad": 1.0}
+    weights = np.array([-1.0, 0.7, 0.5, -0.4, 0.2, 0.3, 0.1])
+    model = toxicity.Scorer(toxicity.Lexicon(terms), weights)
+    draw = random.Random(12)
+    pool = ["wretch", "wretsh", "wrettch", "wrech", "Scumbag!", "scumbg", "vileness", "vil", "bad", "bed", "fine", "words", "said", '"bad"', "“wretch”", "and", "so", "it", "is"]
+    rows = [(k, " ".join(draw.choice(pool) for _ in range(draw.randint(0, 60)))) for k in range(80)] + [(200, None), (201, ""), (202, "fine words " * 3000 + "wretch")]
+
+    def hit(word):
+        w = toxicity.plain_word(word.encode())
+        exact = max([v for t, v in terms.items() if (w.startswith(t[:-1]) if t[-1] == "*" else w == t)], default=0.0)
+        fuzzy = max([v for t, v in terms.items() if t[-1] != "*" and len(t) >= toxicity.FUZZY_LETTERS and distance(w, t) == 1], default=0.0)
+        return exact, 0.0 if exact else fuzzy
+
+    def score(text):
+        ws = (text or "").split()
+        value = [sum(hit(w)) for w in ws]
+        x = np.zeros(6)
+        if any(value):
+            sums = [0.0, 0.0, 0.0]
+            for k, w in enumerate(ws):
+                e, f = hit(w)
+                if value[k] and toxicity.Scorer._quoted([y.encode() for y in ws], k):
+                    sums[2] += e + f
+                else:
+                    sums[0] += e
+                    sums[1] += f
+            densest = max(sum(value[max(0, k - toxicity.CONTEXT + 1) : k + 1]) for k in range(len(ws)))
+            x = np.log1p([*sums, 100 * sum(value) / len(ws), densest, max(value)])
+        return 1 / (1 + np.exp(-(weights[0] + x @ weights[1:])))
+
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for k, text in rows:
+        assert abs(got[k].score - score(text)) < 1e-9 and got[k].predicted == int(got[k].score >= 0.5)
+
+
+def test_lexicon_of_very_many_terms(spark):
+    """Shared words beyond any number of candidates do not crowd the terms out."""
+    common = [f"w{k:05d}" for k in range(60_000)]
+    rows = [(k, " ".join(common) + " grumbletoxin" * (k % 2), k % 2) for k in range(40)]
+    made = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert any(t.startswith("grum") for t in made.terms) and not any(t.startswith("w0") for t in made.terms)
+
+
 def test_rule_columns_agree_with_the_rules(spark):
     rows, labels = labelled_corpus(8, 200)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -214,29 +284,87 @@ def test_language_models_have_all_counts(spark, monkeypatch):
     counts = language_id.count_grams(train.where("lang is not null and text is not null")).toPandas()
     want = language_id.Models(counts)
     monkeypatch.setattr(language_id, "PIECE", 300, raising=False)
-    got = language_id.fit(train, max_grams=50).models
+    got = language_id.fit(train).models
     assert got.langs == want.langs and got.uniform == want.uniform
     for a, b in zip([*got.grams, *got.contexts], [*want.grams, *want.contexts]):
         assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
 
 
-def test_kneser_ney_sums_to_one():
+class PlainKneserNey:
+    """The definition, with dictionaries: one language, from counts of the longest n-grams."""
+
+    def __init__(self, grams):
+        self.tables = {language_id.ORDER: dict(grams)}
+        for k in range(language_id.ORDER - 1, 0, -1):
+            self.tables[k] = Counter(g[1:] for g in self.tables[k + 1])
+        self.alphabet = {c for g in grams for c in g} - {language_id.START}
+        self.unknown = 1 / (len({c for g in grams for c in g}) + 1)
+
+    def of(self, context, c):
+        p = self.unknown
+        for k in range(1, language_id.ORDER + 1):
+            h = context[len(context) - k + 1 :] if k > 1 else ""
+            after = {g[-1]: n for g, n in self.tables[k].items() if g[:-1] == h}
+            total = sum(after.values())
+            if total:
+                once, twice = (sum(n == x for n in self.tables[k].values()) for x in (1, 2))
+                d = min(0.95, max(0.1, once / (once + 2 * twice) if once + twice else 0.5))
+                p = max(after.get(c, 0) - d, 0) / total + d * len(after) / total * p
+        return p
+
+
+def test_kneser_ney_is_the_definition_and_sums_to_one():
     import pandas as pd
 
-    grams = Counter()
-    for w in ("abc", "abd", "bca"):
+    draw, grams = random.Random(5), Counter()
+    for w in ("abc", "abd", "bca", "abcab", "c", "dda"):
         padded = language_id.START * 4 + w + language_id.END
         for k in range(len(w) + 1):
-            grams[padded[k : k + 5]] += 2
-    m = language_id.Models(pd.DataFrame([("x", g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
-    # all one-letter words over the known letters, and the empty end: first letters share the probability
-    first = {}
-    for c in "abcd":
-        both = m.word_scores([c])[0][0][0]
-        codes = language_id.START * 4 + c + language_id.END
-        after = {d: 0 for d in "abcd"}
-        first[c] = both
-    assert sum(np.exp(list(first.values()))) < 1
+            grams[padded[k : k + 5]] += draw.randint(1, 3)
+    made = language_id.Models(pd.DataFrame([("x", g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
+    plain = PlainKneserNey(grams)
+    for w in ("abc", "abd", "cab", "dddd", "q", "aq", "bcabca"):
+        padded = language_id.START * 4 + w + language_id.END
+        want = sum(np.log(plain.of(padded[k : k + 4], padded[k + 4])) for k in range(len(w) + 1))
+        scores, sizes = made.word_scores([w])
+        assert abs(scores[0][0] - want) < 1e-4 and sizes[0] == len(w) + 1
+    start = language_id.START
+    for context in (start * 4, start * 3 + "a", start + "abc", "abca", "dddd"):
+        # START is never predicted; the rest of the uniform share is that of unknown characters and of START
+        known = sum(plain.of(context, c) for c in plain.alphabet)
+        assert abs(known + 2 * plain.of(context, "?") - 1) < 1e-9
+
+
+def test_language_choice_and_rejection(spark):
+    """The language of the lowest cross-entropy, as the definition has it; strange texts are rejected, usual ones are not."""
+    draw = random.Random(8)
+    parts = {"xx": ["la", "mi", "ro"], "yy": ["kst", "ung", "ach"]}
+    text = lambda lang: " ".join("".join(draw.choice(parts[lang]) for _ in range(draw.randint(1, 3))) for _ in range(draw.randint(5, 30)))
+    train = [(k, text(lang), lang) for k in range(200) for lang in parts]
+    train += [(1000, "mila lari", "zz")]
+    model = language_id.fit(spark.createDataFrame(train, "doc_id long, text string, lang string"))
+    asked = [(k, text(draw.choice(list(parts)))) for k in range(60)] + [(100 + k, " ".join("".join(draw.choice("qxjwvzf") for _ in range(9)) for _ in range(20))) for k in range(20)]
+    got = {r.doc_id: r for r in language_id.identify(spark.createDataFrame(asked, "doc_id long, text string"), model).collect()}
+    plain = {}
+    for lang in model.models.langs:
+        grams = Counter()
+        for _, t, own in train:
+            if own == lang:
+                for w in t.split():
+                    padded = language_id.START * 4 + w + language_id.END
+                    for k in range(len(w) + 1):
+                        grams[padded[k : k + 5]] += 1
+        plain[lang] = PlainKneserNey(grams)
+        plain[lang].unknown = model.models.uniform
+    for k, t in asked[:12]:
+        entropy = {}
+        for lang, p in plain.items():
+            padded = [language_id.START * 4 + w + language_id.END for w in t.split()]
+            each = [np.log(p.of(w[k : k + 4], w[k + 4])) for w in padded for k in range(len(w) - 4)]
+            entropy[lang] = -np.mean(each)
+        assert got[k].lang_pred == min(entropy, key=entropy.get)
+    assert sum(got[k].rejected for k in range(60)) <= 3
+    assert all(got[100 + k].rejected for k in range(20))
 
 
 # --- op3 -------------------------------------------------------------------------------------------------------------
@@ -306,7 +434,7 @@ def test_one_of_each_judges_rows_by_their_own_text(spark):
     assert ngram_join.one_of_each(table(spark, [(None, None), (None, "")])).count() == 2
 
 
-@pytest.mark.parametrize("block", [1500, 7])
+@pytest.mark.parametrize("block", [600, 7])
 def test_ngram_join_of_many_texts_just_below_the_threshold(spark, monkeypatch, block):
     """A shingle that very many different components share: its sub-trie is walked, also in blocks."""
     monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
@@ -384,6 +512,24 @@ def test_fingerprints(spark):
     assert simhash.edited(table(spark, [(None, "a"), (None, None), (2, "b"), (2, "b")])).count() == 4
 
 
+def test_fingerprint_bits_by_votes(spark):
+    """Every bit from a plain count of votes over the terms that a regular expression cuts."""
+    rows = awkward(4, 40)
+    got = {r.doc_id: r.f for r in simhash.fingerprint(table(spark, rows), {"text": "f"}).collect()}
+    for k, text in rows:
+        spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", (text or "").encode())]
+        width = min(3, len(spans))
+        votes = [0] * 128
+        for i in range(len(spans) - width + 1 if spans else 0):
+            a, b = spans[i][0], spans[i + width - 1][1]
+            term = next(iter(kernel.slices(pa.array([(text or "").encode()[a:b].decode()]))))
+            words = term.word_hashes(1)
+            bits = "".join(f"{int(kernel.run_hashes(words, np.array([0]), np.array([width]), seed)[0]):064b}" for seed in (2, 3))
+            for n, bit in enumerate(bits):
+                votes[n] += (b - a) * (1 if bit == "1" else -1)
+        assert got[k] == f"{int(''.join('1' if v > 0 else '0' for v in votes), 2):032x}"
+
+
 def test_search_by_permuted_blocks(spark):
     draw = random.Random(1)
     prints = [draw.getrandbits(128) for _ in range(40)]
@@ -444,10 +590,29 @@ def test_encoders_are_the_library(vocab_path):
         own = bpe.ChunkEncoder(vocab, mask_bits=bits)
         assert [own.encode(x.encode()) for x in texts] == want
         assert bits > 4 or (own.repaired and own.reused)
-    assert bpe.WordEncoder(vocab).encode_many(texts) == want
+    assert [vocab.encode(x.encode()) for x in texts] == want
     assert [vocab.decode(np.frombuffer(x, "<u4")) for x in want] == texts
 
 
+def test_unbroken_text_takes_linear_time(vocab_path):
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("acgt") for _ in range(200_000)), "".join(draw.choice("acgt") for _ in range(40_000)) + " and words " * 50 + "x1" * 3000]
+    own = bpe.ChunkEncoder(bpe.vocabulary(vocab_path))
+    began = time.time()
+    got = [own.encode(x.encode()) for x in texts]
+    assert time.time() - began < 5
+    assert got == library_ids(vocab_path, texts)
+
+
+def test_other_vocabularies_are_refused(vocab_path, tmp_path):
+    with open(vocab_path, encoding="utf-8") as f:
+        spec = json.load(f)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"model": spec["model"] | {"merges": spec["model"]["merges"][::-1]}}):
+        (tmp_path / "other.json").write_text(json.dumps(spec | change), encoding="utf-8")
+        with pytest.raises(ValueError):
+            bpe.Vocabulary(str(tmp_path / "other.json"))
+
+
 def test_round_trip(spark, vocab_path):
     rows = awkward() + list(enumerate(odd_texts(), 1000)) + [(None, "x"), (0, "x")]
     df = table(spark, rows)
@@ -545,7 +710,7 @@ def test_mixing(spark):
     draw = random.Random(2)
     rows = [(k if k % 50 else None, draw.choice(["a", "a", "a", "b", None])) for k in range(500)] + [(3, "a"), (3, "a")]
     df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("text", F.lit(None).cast("string")).withColumn("_row", F.lit(1))
-    got = mixing.schedule(df, weights={"a": 0.25, "b": 0.5, None: 0.25}, block_docs=4, parts=8, salts=5).collect()
+    got = mixing.schedule(df, weights={"a": 0.25, "b": 0.5, None: 0.25}, block_docs=4, salts=5).collect()
     assert Counter((r.doc_id, r.source) for r in got) == Counter(rows)
     assert len({(r.slot, r.place) for r in got}) == len(rows)
     sizes = Counter(r.source for r in got)
