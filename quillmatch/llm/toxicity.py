@@ -37,6 +37,8 @@ from .quality_model import SAMPLE, labelled
 
 CONTEXT = 20
 FUZZY_LETTERS = 5
+#: States after which the automaton is built anew, so that a worker's memory is bounded.
+STATES = 100_000
 _OPEN, _CLOSE = "\"'“„«‹‘", "\"'”“»›’"
 #: Words of saying, in four languages.
 SAYING = frozenset("said says wrote quoted called quote dit écrit sagte schrieb dijo escribió".split())
@@ -76,6 +78,10 @@ class Lexicon:
                 self.start[node] = max(self.start[node], weight)
             else:
                 self.word[node] = term
+        self._begin()
+
+    def _begin(self) -> None:
+        """The automaton with its first state only."""
         self.states: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -125,6 +131,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[float, float]:
         """The weight of an exact hit, by a whole word or a beginning, and that of a misspelt one; 0 for none."""
+        if len(self.states) > STATES:
+            self._begin()
         n, through = 0, 0.0
         for c in word:
             n = self.steps[n].get(c) if c in self.steps[n] else self._step(n, c)
@@ -148,6 +156,7 @@ class Scorer:
     def _learn(self, words: list[bytes]) -> None:
         if len(self.seen) > self.LIMIT:
             self.seen.clear()
+            self.hot.clear()
         new = set(words)
         new -= self.seen
         for raw in new:
