@@ -8,16 +8,19 @@ texts whose cross-entropy is above what nearly all training texts of that langua
 
 Counts cover every training row. Spark aggregates them and those of the lower orders; the driver takes them all, as hashes
 and numbers and in pieces of about ``PIECE`` rows, makes the tables and broadcasts them. So the models grow with the
-distinct n-grams of the training rows; ``max_grams`` is accepted and changes nothing. The calibration is fitted on about ``sample_docs`` training texts.
+distinct n-grams of the training rows. The calibration is fitted on about ``sample_docs`` training texts, as many of each
+language.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is; null
 ids count as held out and are not learned from; repeated rows are predicted each on its own (and count each as training);
-an empty table gives an empty result; further columns are ignored unless asked for with ``keep``.
+an empty table gives an empty result; further columns are ignored unless asked for with ``keep``, where one named as an added column gives way. Very long texts are scored
+whole: a worker holds the words of one.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,11 +33,13 @@ from pyspark.sql import types as T
 from quillmatch.plans.storage import written
 
 from .bpe import texts_of
-from .kernel import U, mix
+from .kernel import U, carried, mix
 from .linear import ridge, sigmoid
 
 ORDER = 5
 START, END = "\x02", "\x03"
+#: Texts of each language, about, that the calibration takes however rare the language is.
+LEAST_SAMPLE = 200
 #: Rows of the models' tables that the driver takes at once.
 PIECE = 4_000_000
 
@@ -246,7 +251,8 @@ class Scorer:
         if len(self.place) > self.LIMIT:
             self._clear()
         place = self.place
-        new = {w for ws in split for w in ws if w not in place}
+        new = set().union(*split)
+        new.difference_update(place)
         if new:
             new = list(new)
             plain = [letters(w) for w in new]
@@ -262,13 +268,15 @@ class Scorer:
                 self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
             self.scores[first:need], self.sizes[first:need] = scores, sizes
             place.update(zip(new, range(first, need)))
-        out = np.zeros((len(texts), len(self.models.langs)))
-        n = np.zeros(len(texts), np.int64)
-        for k, ws in enumerate(split):
-            if ws:
-                at = np.fromiter(map(place.__getitem__, ws), np.int64, len(ws))
-                n[k] = self.sizes[at].sum()
-                out[k] = self.scores[at].sum(axis=0)
+        count = np.array([len(ws) for ws in split], np.int64)
+        out, n = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts), np.int64)
+        full = np.flatnonzero(count)
+        if len(full):
+            at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
+            first = (np.cumsum(count) - count)[full]
+            n[full] = np.add.reduceat(self.sizes[at], first)
+            for k in range(out.shape[1]):
+                out[full, k] = np.add.reduceat(self.scores[at, k], first)
         return -out / np.maximum(n, 1)[:, None], n
 
 
@@ -302,7 +310,7 @@ class Identifier:
         return best, np.where(n > 0, score, 0.0), rejected | (n == 0)
 
 
-def fit(train: DataFrame, max_grams: int = 2_000_000, sample_docs: int = 4000) -> Identifier:
+def fit(train: DataFrame, sample_docs: int = 4000) -> Identifier:
     """The identifier learned from ``train(lang, text)``; rows with a null in either are left out."""
     rows = train.select("lang", "text").where("lang is not null and text is not null")
     grams = written(count_grams(rows), "grams")
@@ -310,10 +318,12 @@ def fit(train: DataFrame, max_grams: int = 2_000_000, sample_docs: int = 4000) -
     if models is None:
         return Identifier(None)
     out = Identifier(models)
-    n = rows.count()
-    every = max(1, n // sample_docs)
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(every)) == 0)
-    scored = entropies(sample, out, ("lang",)).limit(4 * sample_docs).toPandas()
+    # Some texts of every language, frequent or rare; equal texts count once.
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    each = max(LEAST_SAMPLE, sample_docs // len(counts))
+    every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // each))])
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), every[F.col("lang")]) == 0).dropDuplicates(["lang", "text"])
+    scored = entropies(sample, out, ("lang",)).toPandas()
     scored = scored[scored["n"] > 0]
     if len(scored):
         where = {lang: k for k, lang in enumerate(out.models.langs)}
@@ -375,6 +385,7 @@ def entropies(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_
 
 def identify(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
     """``keep``, ``lang_pred``, ``score`` and ``rejected`` for every text."""
+    keep = carried(keep, ("lang_pred", "score", "rejected"))
     if model.models is None:
         return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
     shared = _Shared(docs.sparkSession, model)
