@@ -20,6 +20,7 @@ are left out unless asked for with ``keep``, where one named as an added column
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -82,50 +83,52 @@ class Lexicon:
 
     def _begin(self) -> None:
         """The automaton with its first state only."""
-        self.states: list[frozenset] = []
-        self.numbers: dict[frozenset, int] = {}
+        self.states: list[bytes] = []
+        self.numbers: dict[bytes, int] = {}
         self.steps: list[dict[str, int]] = []
         self.ends: list[tuple[float, float]] = []
         self.through: list[float] = []
-        self._number(self._closed({(0, 0)}))
+        self._number(self._closed({0}))
 
-    def _closed(self, items: set) -> frozenset:
-        """With the letters that a word may have left out."""
+    def _closed(self, items: set[int]) -> bytes:
+        """With the letters that a word may have left out. An item is twice a node, and one more after an edit; a state is
+        kept as its items in order, four bytes each."""
         out = set(items)
-        for node, edits in items:
-            if edits == 0:
-                out.update((child, 1) for child in self.children[node].values())
-        return frozenset(out)
+        for item in items:
+            if not item & 1:
+                out.update(2 * child + 1 for child in self.children[item >> 1].values())
+        return array("i", sorted(out)).tobytes()
 
-    def _number(self, state: frozenset) -> int:
+    def _number(self, state: bytes) -> int:
         n = self.numbers.get(state)
         if n is None:
             n = self.numbers[state] = len(self.states)
             self.states.append(state)
             self.steps.append({})
             exact = fuzzy = through = 0.0
-            for node, edits in state:
+            for item in array("i", state):
+                node = item >> 1
                 term = self.word[node]
-                if term is not None:
-                    if edits == 0:
-                        exact = max(exact, self.terms[term])
-                    elif len(term) >= FUZZY_LETTERS:
-                        fuzzy = max(fuzzy, self.terms[term])
-                if edits == 0:
+                if not item & 1:
                     through = max(through, self.start[node])
+                    if term is not None:
+                        exact = max(exact, self.terms[term])
+                elif term is not None and len(term) >= FUZZY_LETTERS:
+                    fuzzy = max(fuzzy, self.terms[term])
             self.ends.append((exact, fuzzy))
             self.through.append(through)
         return n
 
     def _step(self, n: int, c: str) -> int:
         out = set()
-        for node, edits in self.states[n]:
+        for item in array("i", self.states[n]):
+            node, edits = item >> 1, item & 1
             child = self.children[node].get(c)
             if child is not None:
-                out.add((child, edits))
-            if edits == 0:
-                out.add((node, 1))  # a letter too many
-                out.update((other, 1) for letter, other in self.children[node].items() if letter != c)
+                out.add(2 * child + edits)
+            if not edits:
+                out.add(2 * node + 1)  # a letter too many
+                out.update(2 * other + 1 for letter, other in self.children[node].items() if letter != c)
         to = self.steps[n][c] = self._number(self._closed(out))
         return to
 
@@ -146,7 +149,7 @@ class Lexicon:
 
 
 class Scorer:
-    LIMIT = 500_000
+    LIMIT = 250_000
 
     def __init__(self, lexicon: Lexicon, weights: np.ndarray | None = None):
         self.lexicon, self.weights = lexicon, weights
