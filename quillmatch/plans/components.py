@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import written
+from .storage import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,15 +33,17 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     table gives an empty result. Raises if the labels have not settled after ``max_rounds`` rounds.
     """
     start = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    now = written(_small_star(start), "components")
-    seen = None
-    for _ in range(max_rounds):
-        # A star forest: every node points at its component's least node, and no such node points elsewhere.
-        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if state == seen or state[0] == 0:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-                now.select(F.col("v").alias("node"), F.col("v").alias("component"))
-            ).distinct()
-        seen = state
-        now = written(_small_star(_large_star(now)), "components")
+    with Scratch(edges.sparkSession) as tmp:
+        now = tmp.written(_small_star(start), "components")
+        seen = None
+        for _ in range(max_rounds):
+            # A star forest: every node points at its component's least node, and no such node points elsewhere.
+            state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+            if state == seen or state[0] == 0:
+                tmp.keep_last()
+                return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+                    now.select(F.col("v").alias("node"), F.col("v").alias("component"))
+                ).distinct()
+            seen = state
+            now = tmp.written(_small_star(_large_star(now)), "components")
     raise RuntimeError(f"components have not settled after {max_rounds} rounds")

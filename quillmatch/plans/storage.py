@@ -50,6 +50,10 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def keep_last(self) -> None:
+        """The table written last stays after the block."""
+        self.paths.pop()
+
     def __enter__(self) -> Scratch:
         return self
 
