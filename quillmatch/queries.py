@@ -120,10 +120,10 @@ def qualifying_pairs_parts(spark, sf_dir):
     return pairs.similarity_join(_name_corpus(spark, sf_dir), "idx", "p_name", 0.75).select("i", "j", F.col("ratio").alias("r"))
 
 
-def qualifying_pairs_turns(spark, sf_dir):
-    """All turns of all conversations whose texts reach 0.8."""
+def join_counts_turns(spark, sf_dir):
+    """All pairs of turns of conversations: how many reach 0.8, and how many pass the bounds by lengths and characters."""
     turns = _t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
-    return pairs.similarity_join(turns, "id", "text", 0.8).select("i", "j", F.col("ratio").alias("r"))
+    return pairs.join_counts(turns, "id", "text", 0.8)
 
 
 def all_pairs_sum_parts(spark, sf_dir):
@@ -352,7 +352,7 @@ def cosine_all_pairs_nation(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     ro_ratio_part_names, ro_ratio_reversed, ro_ratio_nation_region, ro_topk_part_names, ratio_many_part_names, ratio_capped_part_names,
     qualifies_part_names, ratio_many_idx_nation, real_quick_ratio_docs, quick_ratio_part, char_counts_docs, char_counts_part, ascii_profile_nation,
-    length_blocked_pairs, qualifying_pairs_parts, qualifying_pairs_turns, all_pairs_sum_parts, cluster_parts, cluster_parts_multi, cluster_sizes_parts, cluster_docs_multi,
+    length_blocked_pairs, qualifying_pairs_parts, join_counts_turns, all_pairs_sum_parts, cluster_parts, cluster_parts_multi, cluster_sizes_parts, cluster_docs_multi,
     cluster_docs_lsh, tfidf_weights_docs, doc_freq_docs, idf_docs, cosine_join_docs_t08, cosine_join_docs_t05, cosine_join_bruteforce_docs,
     cosine_join_sweep, cosine_from_rows_lineitem, cosine_join_counts_docs, dim_rank_maxw, delta_chain_cap, shingle_hashes_bench,
     minhash_signatures_bench, lsh_candidates_docs, lsh_candidates_turns, list_source, nul_source_benchmark,
