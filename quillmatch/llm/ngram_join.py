@@ -12,11 +12,11 @@ The join is the traversal of these tries (``trie``): a probe shares partial over
 subtree by its remaining lengths. It has two steps, so that a class of very many near copies is not walked once for each
 pair. First every set is tried with one other, that which is the least of the most prefix shingles it has; what links is
 joined into components. Then sub-tries are walked which hold sets of different components, pairs within a component being
-of no more interest; only verified links come out, candidate pairs are no rows. Before a set goes into a sub-trie, its
-other prefix shingles tell whether all of its partners there meet it in an earlier one already. A sub-trie of very many or
-very long sets is split into blocks, and each two blocks are a task's group. Where pairs are few beside the items of a
-sub-trie's sets, the sets are named in pairs instead: two long texts may meet in thousands of sub-tries, and so travel
-once. The partners of one set are a trie again.
+of no more interest; only verified links come out, candidate pairs are no rows, and of a group's links only as many as join
+its components (``_forest``). Before a set goes into a sub-trie, its other prefix shingles tell whether all of its partners
+there meet it in an earlier one already. A sub-trie of very many or very long sets is split into blocks, and each two blocks
+are a task's group. Where pairs are few beside the items of a sub-trie's sets, the sets are named in pairs instead: two long
+texts may meet in thousands of sub-tries, and so travel once. The partners of one set are a trie again.
 
 Defined results: documents without words have no set, size 0, and are a class each; each row has the class of its own
 text, the least id that links reach, also where ids repeat or are null (a null id is never the least; a class of null ids
@@ -336,8 +336,32 @@ def _open(prefixes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return ordered.mapInArrow(run, "h long, deal int, block int, node long, rest int, c long, partner long")
 
 
+def _forest(trie: Trie, n: np.ndarray, c: np.ndarray, block: np.ndarray | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of a trie's sets that join their components ``c`` as all its links do, one for each two that are joined.
+
+    Of two sets in different components one at least is not in the largest, and is a probe; so a class of very many near
+    copies needs only the probes that make it one. With ``block``, links are between blocks only.
+    """
+    c = np.unique(c, return_inverse=True)[1]
+    left, p, q = np.ones(len(c), bool), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while True:
+        probes = np.flatnonzero(left & (c != np.bincount(c).argmax()))
+        if not len(probes):
+            return np.concatenate(p), np.concatenate(q)
+        k = probes[0]
+        left[k] = False
+        found = trie.linked(trie.sequence(k), int(n[k]), percent)
+        found = found[c[found] != c[k]]
+        if block is not None:
+            found = found[block[found] != block[k]]
+        if len(found):
+            joined, first = np.unique(c[found], return_index=True)
+            p.append(np.full(len(first), k)), q.append(found[first])
+            c[np.isin(c, joined)] = c[k]
+
+
 def _walked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links ``(p, q)`` between sets of different components in the sub-tries."""
+    """Links ``(p, q)`` between sets of different components: of each group fewer than it has components, which join the same."""
     parts = int(open_.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rests = open_.join(sets, "node").select("h", "deal", "block", "node", "c", "n", F.expr("substring(items, -8 * rest)").alias("items"))
     ordered = rests.repartition(parts, "h", "deal").sortWithinPartitions("h", "deal", "items", "node")
@@ -348,15 +372,8 @@ def _walked(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 continue
             block, node, c, n = (group.column(k).to_numpy() for k in (2, 3, 4, 5))
             across = block.min() != block.max()
-            trie = Trie(_item_arrays(group.column(6)), n)
-            p, q = [], []
-            for k in range(group.num_rows):
-                found = trie.linked(trie.sequence(k), int(n[k]), percent)
-                found = found[(found < k) & (c[found] != c[k])]
-                if across:
-                    found = found[block[found] != block[k]]
-                p.append(np.full(len(found), node[k])), q.append(node[found])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(p)), pa.array(np.concatenate(q))], names=["p", "q"])
+            p, q = _forest(Trie(_item_arrays(group.column(6)), n), n, c, block if across else None, percent)
+            yield pa.RecordBatch.from_arrays([pa.array(node[p]), pa.array(node[q])], names=["p", "q"])
 
     return ordered.mapInArrow(run, "p long, q long")
 

@@ -415,6 +415,50 @@ def test_ngram_join_of_a_large_class(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_classes(rows)
 
 
+@pytest.mark.parametrize("block", [600, 60])
+def test_ngram_join_of_a_large_class_makes_few_links(spark, monkeypatch, block):
+    """Near copies that the first step leaves apart: the walk gives fewer links than it gets sets, not one for each pair."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    made, walked = [], ngram_join._walked
+
+    def counted(open_, sets, percent):
+        links = walked(open_, sets, percent)
+        made.append((links.count(), open_.count()))
+        return links
+
+    monkeypatch.setattr(ngram_join, "_walked", counted)
+    draw, base, rows = random.Random(4), [f"w{k}" for k in range(80)], []
+    for k in range(240):
+        w = base[:]
+        for _ in range(draw.randint(1, 3)):
+            w[draw.randrange(80)] = f"x{draw.randrange(10_000)}"
+        rows.append((k, " ".join(w)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.classes(table(spark, rows)).collect()}
+    assert got == brute_classes(rows)
+    assert made and all(0 < links < sets for links, sets in made)
+
+
+def test_forest_joins_what_all_links_join():
+    draw = np.random.default_rng(5)
+    for _ in range(40):
+        size = int(draw.integers(2, 40))
+        base = np.arange(40, dtype=np.uint64)
+        sets = sorted((np.sort(draw.permutation(base)[: draw.integers(25, 41)]) for _ in range(size)), key=list)
+        n, c, block = np.array([len(x) for x in sets]), draw.integers(0, 12, size), draw.integers(0, 2, size)
+        for blocks in (None, block):
+            links = [(i, j) for i in range(size) for j in range(i) if 100 * len(set(sets[i]) & set(sets[j])) >= 75 * len(set(sets[i]) | set(sets[j])) and (blocks is None or block[i] != block[j])]
+            p, q = ngram_join._forest(trie.Trie(sets, n), n, c, blocks, 75)
+            assert {(max(e), min(e)) for e in zip(p.tolist(), q.tolist())} <= set(links)
+            joined = []
+            for edges in (links, list(zip(p.tolist(), q.tolist()))):
+                label = c.copy()
+                for i, j in edges:
+                    label[label == label[i]] = label[j]
+                joined.append([np.flatnonzero(label == x)[0] for x in label])
+            assert joined[0] == joined[1]
+            assert len(p) == len(set(c.tolist())) - len(set(joined[1]))
+
+
 def test_ngram_join_of_odd_tables(spark):
     assert ngram_join.classes(table(spark, [])).count() == 0
     rows = [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (2, None), (3, ""), (0, "q")]
