@@ -8,8 +8,9 @@ texts whose cross-entropy is above what nearly all training texts of that langua
 
 Counts cover every training row. Spark aggregates them and those of the lower orders; the driver takes them all, as hashes
 and numbers and in pieces of about ``PIECE`` rows, makes the tables and broadcasts them. So the models grow with the
-distinct n-grams of the training rows. The calibration is fitted on about ``sample_docs`` training texts, as many of each
-language.
+distinct n-grams of the training rows. The calibration, too, is of every training row: Spark counts their cross-entropies and
+leads in steps of ``1 / STEPS``, which bounds what the driver gets, and a language with more rows than the mean weighs as the
+mean. ``learn_and_identify`` scores each text once for both, the calibration and its prediction.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is; null
 ids count as held out and are not learned from; repeated rows are predicted each on its own (and count each as training);
@@ -38,8 +39,8 @@ from .linear import ridge, sigmoid
 
 ORDER = 5
 START, END = "\x02", "\x03"
-#: Texts of each language, about, that the calibration takes however rare the language is.
-LEAST_SAMPLE = 200
+#: Steps of a unit in which the calibration counts.
+STEPS = 1024
 #: Rows of the models' tables that the driver takes at once.
 PIECE = 4_000_000
 
@@ -295,14 +296,25 @@ class Identifier:
             lead = np.ones(len(best))
         return best, lowest, lead * np.sqrt(n)
 
-    def calibrate(self, entropy: np.ndarray, n: np.ndarray, truth: np.ndarray) -> None:
-        """``truth``: the place of each text's language among the models."""
-        best, lowest, lead = self.features(entropy, n)
-        self.weights = ridge(np.log1p(lead)[:, None], (best == truth).astype(float))
-        self.limits = np.array([np.quantile(lowest[best == k], 0.995) if (best == k).any() else np.inf for k in range(len(self.models.langs))])
-
-    def predict(self, entropy: np.ndarray, n: np.ndarray):
-        best, lowest, lead = self.features(entropy, n)
+    def calibrate(self, measures: DataFrame) -> None:
+        """Fits the score and the limits of rejection to all rows of ``measures(lang, best, lowest, lead, n)`` with letters."""
+        langs = self.models.langs
+        rows = measures.where("n > 0 and lang is not null")
+        step = lambda x: F.floor(x * STEPS).alias("at")
+        leads = rows.groupBy("lang", (F.col("lang") == F.array(*map(F.lit, langs))[F.col("best")]).alias("right"), step(F.log1p("lead"))).count().toPandas()
+        leads = leads.sort_values(["lang", "right", "at"])  # the same sums in every run
+        if not len(leads):
+            return
+        each = leads.groupby("lang")["count"].sum()
+        weight = leads["count"] * np.minimum(1.0, each.mean() / each)[leads["lang"]].to_numpy()
+        self.weights = ridge((leads["at"].to_numpy()[:, None] + 0.5) / STEPS, leads["right"].to_numpy(float), counts=weight.to_numpy())
+        self.limits = np.full(len(langs), np.inf)
+        lowest = rows.groupBy("best", step(F.col("lowest"))).count().toPandas().sort_values("at")
+        for best, own in lowest.groupby("best"):
+            passed = own["count"].cumsum().to_numpy()
+            self.limits[best] = (own["at"].to_numpy()[np.searchsorted(passed, 0.995 * passed[-1])] + 1) / STEPS
+
+    def predict(self, best: np.ndarray, lowest: np.ndarray, lead: np.ndarray, n: np.ndarray):
         score = sigmoid(self.weights[0] + self.weights[1] * np.log1p(lead))
         rejected = score < 0.5
         if self.limits is not None:
@@ -310,27 +322,32 @@ class Identifier:
         return best, np.where(n > 0, score, 0.0), rejected | (n == 0)
 
 
-def fit(train: DataFrame, sample_docs: int = 4000) -> Identifier:
+def _trained(docs: DataFrame) -> DataFrame:
+    return docs.select("lang", "text").where("lang is not null and text is not null")
+
+
+def fit(train: DataFrame) -> Identifier:
     """The identifier learned from ``train(lang, text)``; rows with a null in either are left out."""
-    rows = train.select("lang", "text").where("lang is not null and text is not null")
-    grams = written(count_grams(rows), "grams")
-    models = Models.learned(grams)
-    if models is None:
-        return Identifier(None)
-    out = Identifier(models)
-    # Some texts of every language, frequent or rare; equal texts count once.
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    each = max(LEAST_SAMPLE, sample_docs // len(counts))
-    every = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // each))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(3)), every[F.col("lang")]) == 0).dropDuplicates(["lang", "text"])
-    scored = entropies(sample, out, ("lang",)).toPandas()
-    scored = scored[scored["n"] > 0]
-    if len(scored):
-        where = {lang: k for k, lang in enumerate(out.models.langs)}
-        out.calibrate(np.array(scored["entropy"].tolist()), scored["n"].to_numpy(), scored["lang"].map(where).to_numpy())
+    rows = _trained(train)
+    out = Identifier(Models.learned(written(count_grams(rows), "grams")))
+    if out.models is not None:
+        out.calibrate(written(measured(rows, out, ("lang",)), "measures"))
     return out
 
 
+def learn_and_identify(docs: DataFrame, training: Column, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """What ``identify`` returns for ``docs(lang, text)`` with the model that ``fit`` learns from its ``training`` rows."""
+    out = Identifier(Models.learned(written(count_grams(_trained(docs.where(training))), "grams")))
+    keep = carried(keep, ADDED)
+    if out.models is None:
+        return identify(docs, out, keep)
+    own_keep = tuple(f"_kept{k}" for k in range(len(keep)))  # as in identify
+    own = docs.select(*[F.col(c).alias(x) for c, x in zip(keep, own_keep)], F.when(training, F.col("lang")).alias("_lang"), "text")
+    made = written(measured(own, out, (*own_keep, "_lang")), "measures")
+    out.calibrate(made.select(F.col("_lang").alias("lang"), *MEASURES))
+    return _predicted(made, out, own_keep).toDF(*keep, *ADDED)
+
+
 _SCORERS: dict = {}
 
 
@@ -368,38 +385,50 @@ def _scored(shared, column: pa.Array):
         yield _scorer(shared).batch(texts)
 
 
-def entropies(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep``, ``entropy`` (an array by language) and ``n``, the number of predictions."""
+ADDED = ("lang_pred", "score", "rejected")
+MEASURES = ("best", "lowest", "lead", "n")
+
+
+def measured(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep`` and of each text: ``best``, the place of its language; its cross-entropy ``lowest``; its ``lead`` over the
+    second's, and ``n``, the number of predictions."""
     shared = _Shared(docs.sparkSession, model)
-    schema = docs.select(*keep).schema.add("entropy", T.ArrayType(T.DoubleType())).add("n", "long")
+    schema = docs.select(*keep).schema.add("best", "integer").add("lowest", "double").add("lead", "double").add("n", "long")
 
     def run(batches):
+        own = shared.value
         for batch in batches:
             made = list(_scored(shared, batch.column(len(keep))))
             if made:
                 e, n = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(list(e), pa.list_(pa.float64())), pa.array(n)], names=schema.names)
+                best, lowest, lead = own.features(e, n)
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(best, pa.int32()), *map(pa.array, (lowest, lead, n))], names=schema.names)
 
     return docs.select(*keep, text).mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep``, ``lang_pred``, ``score`` and ``rejected`` for every text."""
-    keep = carried(keep, ("lang_pred", "score", "rejected"))
-    if model.models is None:
-        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
-    shared = _Shared(docs.sparkSession, model)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+def _predicted(measures: DataFrame, model: Identifier, keep: tuple[str, ...]) -> DataFrame:
+    """``keep``, ``lang_pred``, ``score`` and ``rejected`` from ``keep`` and the columns that ``measured`` adds."""
+    schema = measures.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
+    names = np.array([*model.models.langs, "und"], dtype=object)
+    small = Identifier(None)
+    small.weights, small.limits = model.weights, model.limits
 
     def run(batches):
-        own = shared.value
-        names = np.array([*own.models.langs, "und"], dtype=object)
         for batch in batches:
-            made = list(_scored(shared, batch.column(len(keep))))
-            if made:
-                e, n = np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
-                best, score, rejected = own.predict(e, n)
-                lang = names[np.where(n > 0, best, len(names) - 1)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
+            n = batch.column(len(keep) + 3).to_numpy()
+            best, score, rejected = small.predict(*(batch.column(len(keep) + k).to_numpy() for k in range(3)), n)
+            lang = names[np.where(n > 0, best, len(names) - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
-    return docs.select(*keep, text).mapInArrow(run, schema)
+    return measures.select(*keep, *MEASURES).mapInArrow(run, schema)
+
+
+def identify(docs: DataFrame, model: Identifier, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
+    """``keep``, ``lang_pred``, ``score`` and ``rejected`` for every text."""
+    keep = carried(keep, ADDED)
+    if model.models is None:
+        return docs.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected"))
+    own = [f"_kept{k}" for k in range(len(keep))]  # a kept column may have the name of a measure
+    made = measured(docs.select(*[F.col(c).alias(x) for c, x in zip(keep, own)], text), model, tuple(own), text)
+    return _predicted(made, model, tuple(own)).toDF(*keep, *ADDED)

@@ -56,7 +56,7 @@ def op4_simhash(spark, sf_dir):
 
 def op5_language_id(spark, sf_dir):
     docs = _docs(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", language_id.held_out_row(3, 1))
-    return language_id.identify(docs, language_id.fit(docs.where("not held_out")), ("doc_id", "held_out"))
+    return language_id.learn_and_identify(docs, ~F.col("held_out"), ("doc_id", "held_out"))
 
 
 def op6_quality_model(spark, sf_dir):

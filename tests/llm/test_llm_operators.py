@@ -290,6 +290,38 @@ def test_language_models_have_all_counts(spark, monkeypatch):
         assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
 
 
+def test_language_calibration_is_of_every_training_row(spark, monkeypatch):
+    """The score and the limits are those of all training rows, however many, and each text is scored once."""
+    draw = random.Random(12)
+    parts = {"xx": ["la", "mi", "ro", "ung"], "yy": ["kst", "ung", "ach", "mi"]}
+    rows = []
+    for k in range(9000):
+        lang = "yy" if k % 9 == 0 else "xx"
+        rows.append((k, " ".join(draw.choice(parts[lang]) for _ in range(draw.randint(1, 4))) + (f" {draw.choice('qxjw') * 3}" if k % 50 == 0 else ""), lang))
+    docs = spark.createDataFrame([*rows, (None, None, "xx"), (9001, "...", "xx")], "doc_id long, text string, lang string").withColumn("held_out", language_id.held_out_row(3, 1))
+    train, seen = docs.where("not held_out"), []
+    calibrate = language_id.Identifier.calibrate
+
+    def counted(self, measures):
+        seen.append(measures.where("n > 0 and lang is not null").count())
+        calibrate(self, measures)
+
+    monkeypatch.setattr(language_id.Identifier, "calibrate", counted)
+    model = language_id.fit(train)
+    got = sorted(map(tuple, language_id.learn_and_identify(docs, ~docs["held_out"], ("doc_id", "lang")).collect()), key=str)
+    assert got == sorted(map(tuple, language_id.identify(docs, model, ("doc_id", "lang")).collect()), key=str)
+    used = [(t, lang) for k, t, lang in rows if zlib.crc32(str(k).encode()) % 3 != 1]
+    assert seen == [len(used)] * 2
+    entropy, n = language_id.Scorer(model.models).batch([t.encode() for t, _ in used])
+    best, lowest, lead = model.features(entropy, n)
+    truth = np.array([model.models.langs.index(lang) for _, lang in used])
+    for k in range(2):
+        assert abs(model.limits[k] - np.quantile(lowest[best == k], 0.995, method="inverted_cdf")) <= 2 / language_id.STEPS
+    each = np.bincount(truth)
+    exact = language_id.ridge(np.log1p(lead)[:, None], (best == truth).astype(float), counts=np.minimum(1, each.mean() / each)[truth])
+    assert np.allclose(model.weights, exact, atol=0.02)
+
+
 class PlainKneserNey:
     """The definition, with dictionaries: one language, from counts of the longest n-grams."""
 
