@@ -2,12 +2,13 @@
 
 import hashlib
 import os
+import random
 
 import corpus_pipeline
 import numpy as np
 import pytest
 
-from quillmatch.llm import quality_model
+from quillmatch.llm import ngram_join, quality_model
 from test_llm_operators import awkward, brute_classes, brute_removal, library_ids
 
 SF = os.environ.get("PIPELINE_SF_DIR", "/root/testdata/sf0.001")
@@ -91,3 +92,25 @@ def test_stages_on_awkward_tables(spark, tmp_path):
     ids = library_ids(corpus_pipeline._vocabulary(), [r[1] or "" for r in rows])
     want = sorted(((r[0], len(i) // 4, hashlib.sha256(i).hexdigest(), hashlib.sha256((r[1] or "").encode()).hexdigest()) for r, i in zip(rows, ids)), key=str)
     assert plain(last(spark, docs, sf)) == want
+
+
+def test_near_copies_make_few_links(spark, tmp_path, monkeypatch):
+    """The join's stage on a class of near copies: one document of each class, without a row for each pair that links."""
+    made, walked = [], ngram_join._walked
+
+    def counted(open_, sets, percent):
+        links = walked(open_, sets, percent)
+        made.append((links.count(), open_.count()))
+        return links
+
+    monkeypatch.setattr(ngram_join, "_walked", counted)
+    draw, rows = random.Random(4), []
+    for k in range(240):
+        w = [f"w{j}" for j in range(80)]
+        for _ in range(draw.randint(1, 3)):
+            w[draw.randrange(80)] = f"x{draw.randrange(10_000)}"
+        rows.append((k, " ".join(w), "en", "s1", None))
+    left = dict(corpus_pipeline.STAGES)["n-gram Jaccard join"](spark, spark.createDataFrame(rows, COLUMNS), str(tmp_path))
+    classes = brute_classes([r[:2] for r in rows])
+    assert sorted(r.doc_id for r in left.collect()) == sorted({c for _, c in classes.values()})
+    assert made and all(links < sets for links, sets in made)
