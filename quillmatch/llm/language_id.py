@@ -2,8 +2,9 @@
 
 A text's words are lower-cased and stripped to their letters; every letter and the end of each word is predicted from the
 ``ORDER - 1`` characters before it in the word. N-grams of all languages are stored by 64-bit hashes in sorted arrays, one
-array per order, with a column per language, so one binary search serves all languages. The language with the lowest
-cross-entropy per character is chosen. ``score`` is a logistic calibration of its lead over the second; ``rejected`` marks
+array per order, with a column per language, so one binary search serves all languages; a worker remembers the outcome for
+each n-gram of ``ORDER`` characters, up to a bound, and looks up all predictions of many texts at once. The language with the
+lowest cross-entropy per character is chosen. ``score`` is a logistic calibration of its lead over the second; ``rejected`` marks
 texts whose cross-entropy is above what nearly all training texts of that language have, or whose score is below a half.
 
 Counts cover every training row. Spark aggregates them and those of the lower orders; the driver takes them all, as hashes
@@ -15,13 +16,15 @@ mean. ``learn_and_identify`` scores each text once for both, the calibration and
 Defined results: null texts and texts without a letter are ``und`` with score 0; without training rows every text is; null
 ids count as held out and are not learned from; repeated rows are predicted each on its own (and count each as training);
 an empty table gives an empty result; further columns are ignored unless asked for with ``keep``, where one named as an added column gives way. Very long texts are scored
-whole: a worker holds the words of one.
+whole, in pieces cut between words.
 """
 
 from __future__ import annotations
 
+import re
+import sys
 from collections import Counter, defaultdict
-from itertools import chain
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +37,7 @@ from pyspark.sql import types as T
 from quillmatch.plans.storage import written
 
 from .bpe import texts_of
-from .kernel import U, carried, mix
+from .kernel import SEPARATORS, U, carried, mix
 from .linear import ridge, sigmoid
 
 ORDER = 5
@@ -43,6 +46,8 @@ START, END = "\x02", "\x03"
 STEPS = 1024
 #: Rows of the models' tables that the driver takes at once.
 PIECE = 4_000_000
+#: Bytes of texts, about, whose predictions are looked up at once.
+PIECE_BYTES = 1 << 18
 
 
 def held_out_row(modulus: int, remainder: int, key: str = "doc_id") -> Column:
@@ -95,13 +100,90 @@ def count_grams(train: DataFrame) -> DataFrame:
 
 def _hash(codes: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the ``k`` code points before each of ``ends``."""
-    h = np.full(len(ends), k, U)
-    for j in range(k):
-        h = (h + codes[ends - k + j]) * U(0x9E3779B97F4A7C15)
+    return _hash_of([codes[ends - k + j] for j in range(k)], len(ends))
+
+
+def _hash_of(columns: list[np.ndarray], n: int) -> np.ndarray:
+    """Hashes of ``n`` rows of code points, given by column."""
+    h = np.full(n, len(columns), U)
+    for c in columns:
+        h += c
+        h *= U(0x9E3779B97F4A7C15)
         h ^= h >> U(29)
     return mix(h)
 
 
+@cache
+def _kinds() -> np.ndarray:
+    """Of each code point: 1 for letters, 2 for what ends words, else 0."""
+    out = np.fromiter((chr(c).isalpha() for c in range(sys.maxunicode + 1)), np.uint8, sys.maxunicode + 1)
+    out[list(SEPARATORS)] = 2
+    return out
+
+
+def windows(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """The padded words of all texts as ``ORDER`` columns of code points, a row for each prediction; the rows of each text."""
+    plain = [t.decode("utf-8", "replace").lower() for t in texts]
+    codes = np.frombuffer("".join(f"{t}\n" for t in plain).encode("utf-32-le"), "<u4")
+    kind = _kinds()[codes]
+    at = np.flatnonzero(kind)
+    last = kind[at] == 2
+    first = np.concatenate([[True], last[:-1]])
+    used = ~(first & last)  # words without a letter
+    at, last, first = at[used], last[used], first[used]
+    first = np.flatnonzero(np.concatenate([[True], last[:-1]])[: len(at)])
+    columns = [codes[at].astype(U)]
+    columns[0][last] = ord(END)
+    for _ in range(ORDER - 1):
+        before = np.empty_like(columns[0])
+        before[1:] = columns[0][:-1]
+        before[first] = ord(START)
+        columns.insert(0, before)
+    ends = np.searchsorted(at, np.cumsum([len(t) + 1 for t in plain]))
+    return columns, np.diff(ends, prepend=0)
+
+
+class Numbers:
+    """Numbers from 0 for 64-bit hashes, in the order in which they are added: open addressing in arrays."""
+
+    def __init__(self):
+        self.n = 0
+        self._room(1 << 12)
+
+    def _room(self, slots: int) -> None:
+        # a number is stored plus one; 0 is an empty slot
+        self.keys, self.held, self.last = np.zeros(slots, U), np.zeros(slots, np.int32), slots - 1
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The numbers of the hashes, -1 for those without."""
+        at = (h & U(self.last)).astype(np.intp)
+        out = self.held[at]
+        other = np.flatnonzero((self.keys[at] != h) & (out > 0))
+        while len(other):
+            slot = (at[other] + 1) & self.last
+            at[other], out[other] = slot, self.held[slot]
+            other = other[(self.keys[slot] != h[other]) & (out[other] > 0)]
+        return out - 1
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers hashes, of which none is repeated or has a number."""
+        if 2 * (self.n + len(h)) > self.last:
+            full = np.flatnonzero(self.held)
+            keys, held = self.keys[full], self.held[full]
+            self._room(1 << int(4 * (self.n + len(h))).bit_length())
+            self._put(keys, held)
+        self._put(h, np.arange(self.n + 1, self.n + 1 + len(h), dtype=np.int32))
+        self.n += len(h)
+
+    def _put(self, h: np.ndarray, number: np.ndarray) -> None:
+        at = (h & U(self.last)).astype(np.intp)
+        while len(h):
+            free = self.held[at] == 0
+            self.held[at[free]], self.keys[at[free]] = number[free], h[free]
+            lost = self.held[at] != number  # taken, or by another of these
+            h, number, at = h[lost], number[lost], (at[lost] + 1) & self.last
+
+
 def discounts(once, twice):
     """The absolute discount of an order, from its numbers of n-grams counted once and twice."""
     return np.clip(np.where(once + twice > 0, once / np.maximum(once + 2 * twice, 1), 0.5), 0.1, 0.95)
@@ -221,63 +303,103 @@ class Models:
         joined = "".join(START * (ORDER - 1) + w + END for w in words)
         codes = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(U)
         ends = np.flatnonzero(codes != ord(START)) + 1
-        p = np.full((len(ends), len(self.langs)), self.uniform, np.float32)
+        sizes = np.array([len(w) + 1 for w in words], np.int64)
+        logs = self.logs([codes[ends - ORDER + j] for j in range(ORDER)])
+        return np.add.reduceat(logs, np.cumsum(sizes) - sizes, axis=0), sizes
+
+    def logs(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The log-likelihood under every language of the last of each row's ``ORDER`` characters after the others."""
+        n = len(columns[0])
+        p = np.full((n, len(self.langs)), self.uniform, np.float32)
         for k in range(1, ORDER + 1):
-            for (keys, values), width, at, fill in ((self.contexts[k - 1], k - 1, ends - 1, 1.0), (self.grams[k - 1], k, ends, 0.0)):
-                h = _hash(codes, at, width)
+            context, gram = columns[ORDER - k : ORDER - 1], columns[ORDER - k :]
+            for (keys, values), own, fill in ((self.contexts[k - 1], context, 1.0), (self.grams[k - 1], gram, 0.0)):
+                h = _hash_of(own, n)
                 place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
                 rows = np.where((keys[place] == h)[:, None], values[place], np.float32(fill))
                 p = p * rows if fill else p + rows
-        sizes = np.array([len(w) + 1 for w in words], np.int64)
-        return np.add.reduceat(np.log(p).astype(np.float64), np.cumsum(sizes) - sizes, axis=0), sizes
+        return np.log(p).astype(np.float64)
+
+
+_SPACE = re.compile(b"[" + bytes(SEPARATORS) + b"]")
+
+
+def _pieces(raw: bytes):
+    """A text, cut between words if it is long."""
+    start = 0
+    while len(raw) - start > PIECE_BYTES:
+        space = _SPACE.search(raw, start + PIECE_BYTES)
+        if space is None:
+            break
+        yield raw[start : space.start()]
+        start = space.end()
+    yield raw[start:]
 
 
 class Scorer:
-    """Cross-entropies of texts under every language; words are scored once while they are remembered."""
+    """Cross-entropies of texts under every language; n-grams are looked up once while they are remembered."""
 
-    LIMIT = 400_000
+    #: Bytes of the log-likelihoods that are remembered, about.
+    LIMIT = 1 << 25
 
     def __init__(self, models: Models):
         self.models = models
         self._clear()
 
     def _clear(self):
-        self.place: dict[bytes, int] = {}
-        self.scores = np.zeros((1 << 16, len(self.models.langs)))
-        self.sizes = np.zeros(1 << 16, np.int64)
+        self.numbers, self.logs = Numbers(), np.empty((len(self.models.langs), 1 << 12))
+
+    def _numbered(self, columns: list[np.ndarray]) -> np.ndarray:
+        """The number of each row's n-gram among the remembered ones, with the new ones."""
+        if self.logs.nbytes > self.LIMIT and 2 * self.numbers.n > self.logs.shape[1]:
+            self._clear()
+        h = _hash_of(columns, len(columns[0]))
+        out = self.numbers.find(h)
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            keys, row = np.unique(h[missing], return_index=True)
+            known = self.numbers.n
+            need = known + len(keys)
+            self.numbers.add(keys)
+            if need > self.logs.shape[1]:
+                grown = np.empty((len(self.logs), 1 << need.bit_length()))
+                grown[:, :known] = self.logs[:, :known]
+                self.logs = grown
+            self.logs[:, known:need] = self.models.logs([c[missing[row]] for c in columns]).T
+            out[missing] = self.numbers.find(h[missing])
+        return out
+
+    def sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """``[texts, languages]`` of log-likelihoods, and the number of predictions of each text."""
+        columns, n = windows(texts)
+        out = np.zeros((len(texts), len(self.models.langs)))
+        full = np.flatnonzero(n)
+        if len(full):
+            number, first = self._numbered(columns), (np.cumsum(n) - n)[full]
+            for k, logs in enumerate(self.logs):
+                out[full, k] = np.add.reduceat(logs[number], first)
+        return out, n
 
     def batch(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """``[texts, languages]`` of cross-entropy per prediction, and the number of predictions of each text."""
-        split = [t.split() for t in texts]
-        if len(self.place) > self.LIMIT:
-            self._clear()
-        place = self.place
-        new = set().union(*split)
-        new.difference_update(place)
-        if new:
-            new = list(new)
-            plain = [letters(w) for w in new]
-            kept = [k for k, w in enumerate(plain) if w]
-            scores, sizes = np.zeros((len(new), len(self.models.langs))), np.zeros(len(new), np.int64)
-            for k in range(0, len(kept), 50_000):
-                part = kept[k : k + 50_000]
-                scores[part], sizes[part] = self.models.word_scores([plain[j] for j in part])
-            first = len(place)
-            need = first + len(new)
-            while need > len(self.sizes):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-                self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-            self.scores[first:need], self.sizes[first:need] = scores, sizes
-            place.update(zip(new, range(first, need)))
-        count = np.array([len(ws) for ws in split], np.int64)
         out, n = np.zeros((len(texts), len(self.models.langs))), np.zeros(len(texts), np.int64)
-        full = np.flatnonzero(count)
-        if len(full):
-            at = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
-            first = (np.cumsum(count) - count)[full]
-            n[full] = np.add.reduceat(self.sizes[at], first)
-            for k in range(out.shape[1]):
-                out[full, k] = np.add.reduceat(self.scores[at, k], first)
+        parts, owners, size = [], [], 0
+
+        def flush():
+            sums, counts = self.sums(parts)
+            np.add.at(out, owners, sums)
+            np.add.at(n, owners, counts)
+
+        for k, raw in enumerate(texts):
+            for piece in _pieces(raw):
+                if parts and size + len(piece) > PIECE_BYTES:
+                    flush()
+                    parts, owners, size = [], [], 0
+                parts.append(piece)
+                owners.append(k)
+                size += len(piece)
+        if parts:
+            flush()
         return -out / np.maximum(n, 1)[:, None], n
 
 

@@ -322,6 +322,68 @@ def test_language_calibration_is_of_every_training_row(spark, monkeypatch):
     assert np.allclose(model.weights, exact, atol=0.02)
 
 
+def small_models(seed, letters="abcdeéß字"):
+    import pandas as pd
+
+    draw, grams = random.Random(seed), Counter()
+    for _ in range(300):
+        padded = language_id.START * 4 + "".join(draw.choice(letters) for _ in range(draw.randint(1, 7))) + language_id.END
+        for k in range(len(padded) - 4):
+            grams[draw.choice("xy"), padded[k : k + 5]] += 1
+    return language_id.Models(pd.DataFrame([(*g, n) for g, n in grams.items()], columns=["lang", "gram", "n"]))
+
+
+def test_language_scores_look_up_each_gram_once(monkeypatch):
+    """Many new words of few n-grams need few look-ups in the models, not some for every character."""
+    draw, models = random.Random(3), small_models(6, "abc")
+    texts = [" ".join("".join(draw.choice("abc") for _ in range(draw.randint(8, 16))) for _ in range(400)).encode() for _ in range(20)]
+    assert len({w for t in texts for w in t.split()}) > 7000
+    asked, plain = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: asked.append(np.size(v)) or plain(a, v, *rest, **more))
+    scorer = language_id.Scorer(models)
+    scorer.batch(texts)
+    assert sum(asked) <= 10 * 4**5 + len(texts)
+    asked.clear()
+    scorer.batch(texts)
+    assert sum(asked) <= len(texts)
+
+
+def test_language_scores_are_sums_over_the_words(monkeypatch):
+    """Odd texts, long ones and more n-grams than are remembered: the sum over each word's letters, one word after another."""
+    draw, models = random.Random(7), small_models(9)
+    odd = "abcAÉéß字Σσςİıŉǰﬁᾼ𐐀 1.'’\u0301\u00ad\ufffd\x02\x03\x1c\u00a0\u2028" + " \n\t\x0b\x0c\r" * 2
+    texts = ["".join(draw.choice(odd) for _ in range(draw.randint(0, 80))).encode() for _ in range(300)]
+    texts += [b"", b" ", b"...", b"\xe5\xad \xff\xc3 a", "aΣ".encode() * 300, ("ΑΣ. " * 300).encode(), b"a" * 2000 + b" \n\n " + b"b c " * 400]
+    monkeypatch.setattr(language_id, "PIECE_BYTES", 500, raising=False)
+    monkeypatch.setattr(language_id.Scorer, "LIMIT", 100)
+    scorer = language_id.Scorer(models)
+    got, n = scorer.batch(texts)
+    alone = [language_id.Scorer(models).batch([t]) for t in texts]
+    assert np.array_equal(got, np.concatenate([a[0] for a in alone])) and n.tolist() == [int(a[1][0]) for a in alone]
+    for t, entropy, count in zip(texts, got, n):
+        plain = ["".join(filter(str.isalpha, w.decode("utf-8", "replace").lower())) for w in t.split()]
+        plain = [w for w in plain if w]
+        assert count == sum(len(w) + 1 for w in plain)
+        if plain:
+            assert np.allclose(entropy, -models.word_scores(plain)[0].sum(axis=0) / count, rtol=1e-12)
+        else:
+            assert not entropy.any()
+
+
+def test_language_numbers():
+    """Hashes get the numbers in which they were added, whatever slots they share."""
+    draw = np.random.default_rng(2)
+    numbers, known = language_id.Numbers(), np.empty(0, np.uint64)
+    for size in (1, 1500, 1500, 20_000):
+        # many of a few low bits, and 0
+        new = np.setdiff1d(draw.integers(0, 1 << 50, size, dtype=np.uint64) << np.uint64(draw.integers(0, 12)), known)
+        new = new if len(known) else np.zeros(1, np.uint64)
+        assert (numbers.find(new) == -1).all()
+        numbers.add(new)
+        known = np.concatenate([known, new])
+        assert numbers.find(known).tolist() == list(range(len(known)))
+
+
 class PlainKneserNey:
     """The definition, with dictionaries: one language, from counts of the longest n-grams."""
 
