@@ -1,19 +1,24 @@
-"""Exact all-pairs weighted-cosine joins over sparse vectors in long form ``(id, dim, w)``, in DataFrame operations only.
+"""Exact all-pairs weighted-cosine joins over sparse vectors in long form ``(id, dim, w)``.
 
-A vector's dimensions are ranked by their greatest weight over all vectors. The leading ones, whose greatest possible
-contribution stays below the threshold, are left out of the index: a pair that reaches the threshold meets in another
-dimension. So dimensions that nearly all vectors have, which are of low weight, make no pairs. Sums are compared with a
-slack of 1e-9, and weights are not negative.
+Dimensions that a single vector has add to no product and go first. The others are ordered by how many vectors have them, the
+most frequent ahead. The leading part of a vector whose length stays below the threshold is not held: as all vectors have
+length 1 at most, two that reach the threshold meet in a dimension that both hold. Vectors travel whole to the dimensions they
+hold, so a product is decided where two of them meet and only pairs that reach the threshold are moved. Sums are compared with
+a slack of 1e-9.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmatch.plans.storage import written
 
 SLACK = 1e-9
+#: Vectors that meet in one dimension at once; rows of a group of rarer dimensions, about; entries looked up at once.
+BLOCK, BUCKET, CHUNK = 512, 4096, 1 << 21
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
@@ -101,13 +106,93 @@ def _exact(rows: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
     return whole.where(F.col("cos") >= t - SLACK)
 
 
+def _shared(vectors: DataFrame) -> DataFrame:
+    """``(dim, d, df)``: the dimensions of two vectors or more, numbered; written, so that numbers stay."""
+    df = vectors.groupBy("dim").agg(F.count("*").alias("df")).where("df > 1")
+    return written(df.withColumn("d", F.monotonically_increasing_id()), "dims")
+
+
+def _ramp(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of the counts its place, as often as it says, and beside it 0, 1, 2..."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Lengths of the lists of a column and all their elements."""
+    whole = column.combine_chunks()
+    whole = whole.chunk(0) if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), whole.flatten()
+
+
+def _reached(table: pa.Table, t: float) -> pa.Table:
+    """Pairs of rows that meet in ``(d, lo, hi)``, where their product reaches ``t`` and they hold no smaller ``d`` both."""
+    table = table.sort_by([("d", "ascending"), ("lo", "ascending"), ("hi", "ascending"), ("side", "ascending")])
+    d, lo, hi, side, ids = (table.column(c).to_numpy() for c in ("d", "lo", "hi", "side", "id"))
+    size, entries = _lists(table.column("entries"))
+    dim, w, held = (entries.field(k).to_numpy(zero_copy_only=False) for k in range(3))
+    begin = np.cumsum(size) - size
+    names, local = np.unique(dim, return_inverse=True)
+    own = np.searchsorted(names, d)
+    key = np.repeat(np.arange(len(d)), size) * len(names) + local  # ascending: entries come by dimension
+    # Partners: those behind in the same meeting, or those of side 1.
+    new = np.ones(len(d), bool)
+    new[1:] = (d[1:] != d[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
+    meeting = np.cumsum(new) - 1
+    end = np.append(np.flatnonzero(new)[1:], len(d))[meeting]
+    first = np.where(lo == hi, np.arange(len(d)) + 1, end - np.bincount(meeting, side).astype(np.int64)[meeting])
+    left, step = _ramp(np.where((lo == hi) | (side == 0), end - first, 0))
+    right = first[left] + step
+    less = size[left] <= size[right]
+    left, right = np.where(less, left, right), np.where(less, right, left)
+    cos, kept, total = np.zeros(len(left)), np.ones(len(left), bool), np.cumsum(size[left])
+    at = 0
+    while at < len(left):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + CHUNK, side="right")))
+        x, y = left[at:to], right[at:to]
+        pair, step = _ramp(size[x])
+        e = begin[x][pair] + step
+        asked = y[pair] * len(names) + local[e]
+        place = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+        hit = np.flatnonzero(key[place] == asked)
+        e, place, pair = e[hit], place[hit], pair[hit]
+        cos[at:to] = np.bincount(pair, w[e] * w[place], minlength=to - at)
+        kept[at:to][pair[held[e] & held[place] & (local[e] < own[x][pair])]] = False
+        at = to
+    found = np.flatnonzero(kept & (cos >= t - SLACK))
+    i, j = ids[left[found]], ids[right[found]]
+    return pa.table({"j": pa.array(np.minimum(i, j), pa.int64()), "i": pa.array(np.maximum(i, j), pa.int64()), "cos": pa.array(cos[found])})
+
+
+def _meetings(vectors: DataFrame, t: float) -> DataFrame:
+    """``(id, d, lo, hi, side, entries, meeting)``: each vector once for each block that it meets in a dimension it holds."""
+    dims = _shared(vectors)
+    groups = (dims.agg(F.sum("df")).first()[0] or 0) // BUCKET + 1
+    order = Window.partitionBy("id").orderBy(F.desc("df"), "d").rowsBetween(Window.unboundedPreceding, 0)
+    held = F.sqrt(F.sum(F.col("w") * F.col("w")).over(order)) >= t - 2 * SLACK
+    near = vectors.join(dims, "dim").select("id", "d", "w", (held if t > SLACK else F.lit(True)).alias("held"), "df")
+    rows = near.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("d", "w", "held", "df"))).alias("e"))
+    rows = rows.select("id", F.explode(F.expr("filter(e, x -> x.held)")).alias("h"), F.expr("transform(e, x -> struct(x.d, x.w, x.held))").alias("entries"))
+    # A dimension that many have is cut into blocks, and each two of them meet.
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.select("id", "h.d", F.expr(f"cast(h.df div {BLOCK} + 1 as int)").alias("blocks"), "entries").withColumn("block", block)
+    met = dealt.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    met = met.select("id", "d", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), F.expr("if(other < block, 1, 0)").alias("side"), "blocks", "entries")
+    meeting = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("d"), F.lit(groups))).otherwise(F.xxhash64("d", "lo", "hi"))
+    return met.withColumn("meeting", meeting).drop("blocks")
+
+
+def _joined(vectors: DataFrame, t: float) -> DataFrame:
+    """As ``cosine_join``, for written vectors."""
+    return _meetings(vectors, t).groupBy("meeting").applyInArrow(lambda table: _reached(table, t), "j long, i long, cos double")
+
+
 def cosine_join(vectors: DataFrame, t: float) -> DataFrame:
     """``(j, i, cos)``, ``j < i``, for all pairs of normalised vectors whose product is at least ``t``.
 
     A threshold of 0 or less gives all pairs that share a dimension.
     """
-    rows = written(indexed(vectors, t), "indexed")
-    return _exact(rows, written(_survivors(_candidates(rows), t), "survivors"), t)
+    return _joined(written(vectors, "vectors"), t)
 
 
 def cosine_join_bruteforce(vectors: DataFrame, t: float) -> DataFrame:

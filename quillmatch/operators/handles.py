@@ -92,4 +92,4 @@ class CosineJoiner:
 
     def join(self, t: float, concurrency: str = "cpu") -> DataFrame:
         backend(concurrency)
-        return cosine.cosine_join(self.corpus, t)
+        return cosine._joined(self.corpus, t)

@@ -193,6 +193,16 @@ def test_cosine_join(spark, seed):
     assert {(r.j, r.i): round(r.cos, 6) for r in cosine.cosine_join_bruteforce(joiner.corpus, 0).collect()} == {p: round(c, 6) for p, c in cos.items() if set(p) <= held}
 
 
+def test_cosine_join_moves_vectors_not_pairs(spark, monkeypatch):
+    """A dimension that all have is held by the one vector that is nothing else, so pairs that share only it never meet."""
+    rows = [(i, d, w) for i in range(300) for d, w in ((0, 1.0), (1 + i // 2, 5.0))] + [(300, 0, 1.0)]
+    vectors = cosine.normalised(spark.createDataFrame(rows, "id long, dim long, w double"))
+    assert cosine._meetings(vectors, 0.8).count() == 301
+    monkeypatch.setattr(cosine, "BLOCK", 7)
+    assert {(r.j, r.i, round(r.cos, 9)) for r in cosine.cosine_join(vectors, 0.8).collect()} == {(i, i + 1, 1.0) for i in range(0, 300, 2)}
+    assert cosine.cosine_join(vectors, 0.03).count() == 301 * 150
+
+
 def test_token_documents(spark):
     docs = spark.createDataFrame([(0, "salt\npepper and oil"), (1, "salt\npepper and oil"), (2, "bread\nolives"), (3, None)], "id long, text string")
     got = CosineJoiner.from_token_docs(docs, "id", F.split("text", "\n")).join(0.8).collect()
