@@ -203,6 +203,38 @@ def test_cosine_join_moves_vectors_not_pairs(spark, monkeypatch):
     assert cosine.cosine_join(vectors, 0.03).count() == 301 * 150
 
 
+def test_cosine_of_all_pairs_moves_vectors_a_bounded_number_of_times(spark, monkeypatch):
+    """However many pairs there are, a vector goes to as many meetings as there are blocks; counts as by definition."""
+    draw = random.Random(5)
+    rows = [(i, d, float(draw.randint(1, 9))) for i in range(120) for d in {0, *(draw.randrange(25) for _ in range(4))}]
+    vectors = cosine.normalised(spark.createDataFrame(rows, "id long, dim long, w double")).cache()
+    v = {}
+    for r in vectors.collect():
+        v.setdefault(r.id, {})[r.dim] = r.w
+    greatest = {d: max(x.get(d, 0) for x in v.values()) for d in range(25)}
+    pairs_ = {(j, i): sum(w * v[i].get(d, 0) for d, w in v[j].items()) for j, i in combinations(sorted(v), 2)}
+    kept, t = {}, 0.6
+    for i, x in v.items():
+        reach, before = 0.0, 0.0
+        for d in sorted(x, key=lambda d: (greatest[d], d)):
+            reach += x[d] * greatest[d]
+            kept[i, d] = (reach >= t - 1e-9, math.sqrt(before))
+            before += x[d] ** 2
+    candidates = survivors = 0
+    for j, i in pairs_:
+        common = [d for d in v[j] if d in v[i] and kept[j, d][0]]
+        rest = math.sqrt(sum(w * w for d, w in v[j].items() if not kept[j, d][0]))
+        candidates += bool(common)
+        survivors += bool(common) and sum(v[j][d] * v[i][d] for d in common) + rest * min(kept[i, d][1] for d in common) >= t - 1e-9
+    want = (candidates, survivors, sum(c >= t - 1e-9 for c in pairs_.values()))
+    for blocks in (1, 4):
+        monkeypatch.setattr(cosine, "BLOCKS", blocks)
+        assert cosine._block_pairs(cosine.indexed(vectors, t)).count() == 120 * blocks
+        assert tuple(cosine.cosine_join_counts(vectors, t).first()) == want
+        found = {(r.j, r.i): r.cos for r in cosine.cosine_join_bruteforce(vectors, t).collect()}
+        assert found.keys() == {p for p, c in pairs_.items() if c >= t - 1e-9} and all(abs(c - pairs_[p]) < 1e-9 for p, c in found.items())
+
+
 def test_token_documents(spark):
     docs = spark.createDataFrame([(0, "salt\npepper and oil"), (1, "salt\npepper and oil"), (2, "bread\nolives"), (3, None)], "id long, text string")
     got = CosineJoiner.from_token_docs(docs, "id", F.split("text", "\n")).join(0.8).collect()
