@@ -108,6 +108,28 @@ def test_blocks_and_counts(spark, monkeypatch):
     assert tuple(pairs.join_counts(df, t=0.75).first()) == (sum(r >= 0.75 for r in whole.values()), passed)
 
 
+def test_texts_are_moved_a_bounded_number_of_times(spark, monkeypatch):
+    """However many texts a band has, each goes to a constant number of meetings; parts and sides give what one block gives."""
+    texts = corpus(22, 90, "abcd é", 30)
+    df = spark.createDataFrame(list(enumerate(texts)), "idx long, text string")
+    _, classes = pairs.text_classes(df, "idx", "text", None)
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    dealt, sides = pairs._blocks(classes, 0.75)
+    assert dealt.join(sides, ["grp", "band", "block"]).groupBy("cls").count().agg({"count": "max"}).first()[0] <= 3 * pairs.BLOCKS
+    table = classes.withColumn("side", (F.col("cls") % 2).cast("int")).toArrow()
+    table = table.set_column(table.schema.get_field_index("side"), "side", table.column("side"))
+    for two in (False, True):
+        side = table.column("side").to_pylist()
+        one = table if two else table.set_column(table.schema.get_field_index("side"), "side", [[0] * len(side)])
+        met = []
+        for part in pairs._parts(one):
+            cls, s = part.column("cls").to_pylist(), part.column("side").to_pylist()
+            met += [frozenset((cls[i], cls[j])) for i in range(len(cls)) for j in range(len(cls)) if (s[i] < s[j] if any(s) else i < j)]
+        names = table.column("cls").to_pylist()
+        want = {frozenset((x, y)) for x, y in combinations(names, 2) if not two or x % 2 != y % 2}
+        assert len(met) == len(want) and set(met) == want
+
+
 def test_symmetric_difference(spark):
     a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "k long, v string")
     b = spark.createDataFrame([("x", 1), ("z", 3)], "v string, k long")
