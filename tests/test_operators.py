@@ -153,6 +153,25 @@ def test_lsh_recall(spark):
     assert len(want) > 100 and len(want & found) >= 0.9 * len(want)
 
 
+def test_candidates_are_not_moved(spark, monkeypatch):
+    """Rows go to the bands they share, in blocks where many share one; pairs come out once, also where ids repeat."""
+    draw = random.Random(8)
+    texts = ["".join(draw.choice("ab") for _ in range(14)) for _ in range(60)] + ["the same text in many rows"] * 30
+    ids = [*range(85), 3, 7, 84, 84, 84]
+    a, b = lsh.permutations(8)
+    signed = [lsh.signature(x, a, b).reshape(4, 2).tolist() for x in texts]
+    want = {(ids[x], ids[y]) for x in range(90) for y in range(90) if ids[x] < ids[y] and any(p == q for p, q in zip(signed[x], signed[y]))}
+    monkeypatch.setattr(lsh, "BLOCK", 4)
+    for n in (85, 90):
+        df = spark.createDataFrame(list(zip(ids, texts))[:n], "idx long, text string")
+        found = lsh.candidates(df, num_perm=8, band_rows=2)
+        got = [(r.i, r.j) for r in found.collect()]
+        assert len(got) == len(set(got)) and set(got) == {p for p in want if n == 90 or any(p == (x, y) for x in range(85) for y in range(x + 1, 85) if any(u == v for u, v in zip(signed[x], signed[y])))}
+        if n == 85:  # no aggregation of pairs behind the meetings
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate" not in plan.split("FlatMapGroupsInArrow")[0]
+
+
 def test_top_level(spark):
     assert quillmatch.ratio("tide", "diet") == 0.25
     df = spark.createDataFrame([("tide", "diet")], "a string, b string")
