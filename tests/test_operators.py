@@ -153,6 +153,13 @@ def test_lsh_recall(spark):
     assert len(want) > 100 and len(want & found) >= 0.9 * len(want)
 
 
+def test_meetings_are_dealt_to_all_tasks(spark):
+    """Groups of few bytes and much work stay apart, as many tasks as the session names."""
+    df = spark.createDataFrame([(k, "g", k, "abc" * 5 + str(k), k, k) for k in range(40)], "cls long, component string, idx long, text string, lo long, hi long")
+    assert pairs.least_ratios(df.drop("idx")).count() == 1
+    assert pairs._apart(df.withColumn("meeting", F.col("cls"))).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_candidates_are_not_moved(spark, monkeypatch):
     """Rows go to the bands they share, in blocks where many share one; pairs come out once, also where ids repeat."""
     draw = random.Random(8)
